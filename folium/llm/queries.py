@@ -11,6 +11,7 @@ _OPERATORS = [
     ("op2_line_dedup", "line_dedup", "op2", ["documents"]),
     ("op3_chat_formatting", "chat_format", "op3", ["conversations"]),
     ("op4_sharding", "sharding", "op4", ["documents"]),
+    ("op8_benchmark_decontamination", "decontamination", "op8", ["documents", "benchmark"]),
     ("op10_source_mixing", "mixing", "op10", ["documents"]),
 ]
 
