@@ -12,6 +12,7 @@ _OPERATORS = [
     ("op3_chat_formatting", "chat_format", "op3", ["conversations"]),
     ("op4_sharding", "sharding", "op4", ["documents"]),
     ("op8_benchmark_decontamination", "decontamination", "op8", ["documents", "benchmark"]),
+    ("op9_exact_topk_search", "topk_search", "op9", ["embeddings"]),
     ("op10_source_mixing", "mixing", "op10", ["documents"]),
 ]
 
