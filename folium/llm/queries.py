@@ -11,6 +11,7 @@ _OPERATORS = [
     ("op2_line_dedup", "line_dedup", "op2", ["documents"]),
     ("op3_chat_formatting", "chat_format", "op3", ["conversations"]),
     ("op4_sharding", "sharding", "op4", ["documents"]),
+    ("op5_quality_classifier", "quality", "op5", ["documents", "labels"]),
     ("op8_benchmark_decontamination", "decontamination", "op8", ["documents", "benchmark"]),
     ("op9_exact_topk_search", "topk_search", "op9", ["embeddings"]),
     ("op10_source_mixing", "mixing", "op10", ["documents"]),
