@@ -30,8 +30,8 @@ from folium.llm import hashing
 
 BITS = 18
 #: Labelled rows that are learned from, at most.
-SAMPLE = 16_000
-EPOCHS = 4
+SAMPLE = 8_000
+EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: Values are shares of a text's n-grams times this; a text counts as having FEWEST n-grams at least, so that a few words say little.
 GAIN, FEWEST = 20.0, 64
