@@ -12,6 +12,7 @@ _OPERATORS = [
     ("op3_chat_formatting", "chat_format", "op3", ["conversations"]),
     ("op4_sharding", "sharding", "op4", ["documents"]),
     ("op5_quality_classifier", "quality", "op5", ["documents", "labels"]),
+    ("op6_ngram_jaccard_join", "jaccard_join", "op6", ["documents"]),
     ("op7_warc", "warc", "op7", ["pages"]),
     ("op8_benchmark_decontamination", "decontamination", "op8", ["documents", "benchmark"]),
     ("op9_exact_topk_search", "topk_search", "op9", ["embeddings"]),
