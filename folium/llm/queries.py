@@ -8,6 +8,7 @@ from folium.llm.shared import table
 
 #: Query, module and function, and the tables it reads.
 _OPERATORS = [
+    ("op1_html_extraction", "html_text", "op1", ["pages"]),
     ("op2_line_dedup", "line_dedup", "op2", ["documents"]),
     ("op3_chat_formatting", "chat_format", "op3", ["conversations"]),
     ("op4_sharding", "sharding", "op4", ["documents"]),
