@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def cover_error(text: Column, spans: Column) -> Column:
@@ -27,10 +25,10 @@ def cover_error(text: Column, spans: Column) -> Column:
     return F.coalesce(last["error"], F.when(rest.rlike(r"(?U)\S"), "uncovered"))
 
 
-def first_fault(text: str, spans: list) -> str | None:
+def first_fault(text: str, spans: list[tuple[int, int]]) -> str | None:
     """cover_error for one text, in time proportional to its length however many spans there are."""
     at = 0
-    for start, end in sorted((s["s"], s["e"]) for s in spans):
+    for start, end in sorted(spans):
         if start < 0 or end > len(text) or start >= end:
             return "out of range"
         if start < at:
@@ -41,11 +39,6 @@ def first_fault(text: str, spans: list) -> str | None:
     return "uncovered" if text[at:].strip() else None
 
 
-@F.pandas_udf(T.StringType())
-def cover_fault(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([first_fault(t or "", [] if s is None else s) for t, s in zip(text, spans, strict=True)], dtype="object")
-
-
 def spans_valid(text: Column, spans: Column) -> Column:
     return cover_error(text, spans).isNull()
 

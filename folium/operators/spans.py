@@ -24,16 +24,45 @@ def _per_text(rows: DataFrame, find, schema: str, names: list[str], types: list[
     return rows.select("doc_id", "text").mapInArrow(generate, schema)
 
 
+_SPANS = "array<struct<s:int,e:int>>"
+
+
+def _span_lists(found: list[list[tuple[int, int]]]) -> pa.ListArray:
+    flat = [x for row in found for span in row for x in span]
+    offsets = [0]
+    for row in found:
+        offsets.append(offsets[-1] + len(row))
+    ends = [pa.array(flat[k::2], pa.int32()) for k in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(ends, names=["s", "e"]))
+
+
 def token_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, spans: the words of each text as one sorted array of spans."""
 
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
         for batch in batches:
-            found = [[{"s": m.start(), "e": m.end()} for m in re.finditer(r"\S+", t or "")] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(found, kind)], names=["doc_id", "text", "spans"])
+            found = [[m.span() for m in re.finditer(r"\S+", t or "")] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), _span_lists(found)], names=["doc_id", "text", "spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(generate, f"doc_id long, text string, spans {_SPANS}")
 
-    return docs.select("doc_id", "text").mapInArrow(generate, "doc_id long, text string, spans array<struct<s:int,e:int>>")
+
+def cover_faults(spanned: DataFrame) -> DataFrame:
+    """doc_id, spans, fault: cover_error of each text, in time proportional to its length however many spans there are."""
+
+    def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("spans")
+            flat = spans.flatten()
+            starts, ends = (flat.field(name).to_pylist() for name in ("s", "e"))
+            bounds = [0, *[0 if n is None else n for n in spans.value_lengths().to_pylist()]]
+            faults, at = [], 0
+            for text, n in zip(batch.column("text").to_pylist(), bounds[1:], strict=True):
+                faults.append(S.first_fault(text or "", list(zip(starts[at : at + n], ends[at : at + n], strict=True))))
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), spans, pa.array(faults, pa.string())], names=["doc_id", "spans", "fault"])
+
+    return spanned.select("doc_id", "text", "spans").mapInArrow(generate, f"doc_id long, spans {_SPANS}, fault string")
 
 
 def occurrences(docs: DataFrame, needle: str) -> DataFrame:

@@ -38,9 +38,9 @@ def duplicate_texts_need_reason(spark, sf):
 
 
 def span_coverage(spark, sf):
-    found = O.token_spans(_t(spark, sf, "documents"))
+    found = O.cover_faults(O.token_spans(_t(spark, sf, "documents")))
     covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["e"] - s["s"])
-    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), covered.cast("long").alias("n_covered"), S.cover_fault("text", "spans").isNull().alias("valid"))
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), covered.cast("long").alias("n_covered"), F.col("fault").isNull().alias("valid"))
 
 
 def span_violations(spark, sf):
