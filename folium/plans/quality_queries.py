@@ -200,7 +200,7 @@ def label_dedup(spark, sf):
 
 
 def canonical_source(spark, sf):
-    """Whether stripping signs and blanks from the first line left any wording: digests of canonical texts."""
+    """Digests of canonical texts: equal where only case, signs or blanks differ."""
     return _t(spark, sf, "documents").select("doc_id", F.sha2(X.canonical("text").cast("binary"), 256).alias("canonical_sha256"))
 
 
@@ -274,6 +274,7 @@ SELECT request, category, count(*) FILTER (WHERE request = 'good' AND category =
     "evidence_screen": f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS f FROM documents), v AS (SELECT doc_id, f, {_FILLER.format(x=_CLEAN)} AS weak, {_EVIDENCE} AS evidence FROM d)
 SELECT doc_id, weak, evidence, CASE WHEN length(trim(f)) < 24 THEN 'too short' WHEN weak THEN 'too weak' WHEN NOT evidence THEN 'no evidence' ELSE 'ok' END AS verdict FROM v""",
+    "canonical_source": r"SELECT doc_id, sha256(replace(regexp_replace(lower(text), '[^\pL\pN]', '', 'g'), 'ß', 'ss')) AS canonical_sha256 FROM documents",
     "short_resolution": f"SELECT doc_id, CASE WHEN length(c) <= 120 THEN c ELSE rtrim(substr(c, 1, 120)) || '…' END AS short FROM (SELECT doc_id, {_COL.format('text')} AS c FROM documents)",
     "validate_report": _ERRORS,
     "progress_rollup": f"""
