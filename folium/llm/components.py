@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.shared import new_folder, remove
 
 MOST_ROUNDS = 60
+#: A graph of at most so many edges, 16 bytes each, is finished by one task; larger ones contract until they are that small.
+FEW_EDGES = 1_000_000
+
+
+def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a graph and the least node of each one's component."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [[b.column(c).to_numpy() for c in ("u", "v")] for b in batches]
+    if parts:
+        found = least_labels(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["node", "component"])
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -36,9 +65,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         row = df.agg(F.count(F.lit(1)), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first()
         return tuple(row)
 
-    now = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "0")
+    now = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(spark.sparkContext.defaultParallelism), "0")
     seen = state(now)
     for k in range(1, MOST_ROUNDS):
+        if seen[0] <= FEW_EDGES:
+            return now.repartition(1).mapInArrow(_finish, "node long, component long")
         near = _both_ways(now)
         large = near.join(_lowest(near), F.col("u") == F.col("node")).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         large = large.where("u <> v").distinct()

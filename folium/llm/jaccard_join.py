@@ -6,14 +6,17 @@ sets are one class. Two classes link when 100 * |A n B| >= SIMILARITY * |A u B|.
 1. A class whose tokens are mostly its own can link with nothing. All (token, class) pairs are
    dealt by token, packed to about five bytes each, and only classes that share at least
    SIMILARITY % of their tokens with another class go on.
-2. These are partitioned into groups: rounds of min-hash keys propose a leader, an exact check
-   admits a member, so every member links with its leader and a group is connected. Groups
-   are sliced so that no token union grows beyond SLICE members.
-3. The token-group matrix holds each slice's token union as rows (token, slice). A query that links
-   with some member has at least SIMILARITY % of its tokens in the union, so the rarest tokens
-   beyond what it may miss hold one that leads to the slice. The overlap with the whole union is
-   then counted, and slices below the bound stay closed.
-4. A qualifying group is first tried by its leader. Groups that are still apart after components
+2. These are partitioned into groups: under each of a few min-hash keys, sets are compared with
+   the key's representatives, and what exact links connect is a group. Groups are sliced by size, so
+   that no token union grows beyond SLICE members and bounds are tight.
+3. The token-group matrix: step 1 again, with groups for classes, leaves the queries that hold
+   enough tokens of other groups. The matrix stores each slice's token union as rows (token, slice).
+   The end in the smaller group is the query. The sizes of the two ends say how many tokens they
+   must have in common, so of the query's tokens outside its group the rarest, beyond what it may
+   miss, hold one that leads to the slice; rows of the matrix are matched by bands of size, and
+   members that cannot have enough in common with others are left out. The overlap with the whole
+   union is then counted, and slices below the bound stay closed.
+4. A qualifying group is first tried by one member. Groups that are still apart after components
    are merged are opened, and the query is checked against all members of fitting size.
 5. Components over groups, then over documents; links are never gathered on the driver.
 
@@ -45,8 +48,12 @@ SIMILARITY = 75
 BUCKET_TOKENS = 2_000_000
 #: Tokens that a task gathers before it deals them out.
 PACK_TOKENS = 1 << 20
-ROUNDS = 4
-SLICE = 256
+#: Min-hash keys of a set; under each, sets are compared with up to FIRSTS sets that represent those before them.
+ROUNDS, FIRSTS = 3, 8
+#: Sets under one key that one task clusters, about; beyond, the key is split.
+CROWD = 4096
+#: Members of a group, of sizes in one of BANDS bands to a doubling, that share one token union.
+SLICE, BANDS = 256, 8
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -61,9 +68,18 @@ def class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def needed(n: Column) -> Column:
-    """Tokens of a set of n that any set linked with it must hold."""
-    return F.floor((n * SIMILARITY + 99) / 100).cast("long")
+def needed(n: Column, m: Column) -> Column:
+    """Tokens that sets of n and m must have in common to link."""
+    return F.ceil((n + m) * SIMILARITY / (100 + SIMILARITY)).cast("long")
+
+
+def smallest(n: Column) -> Column:
+    """Size of the smallest set that a set of n may link with."""
+    return F.ceil(n * SIMILARITY / 100).cast("long")
+
+
+def size_band(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double")) * BANDS).cast("int")
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,76 +91,117 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["doc_id", "n", "cid"])
 
 
+def _pack(sets: list[np.ndarray], ids: list[int], labels: list[int], buckets: int) -> pa.RecordBatch:
+    """Tokens of some sets, dealt by their high bits: a row per bucket with the low bits, and ids and labels with run lengths."""
+    tokens = np.concatenate(sets)
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    bucket, own, low = bucket[order], own[order], tokens[order].astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1])]))
+    runs = np.diff(np.concatenate([first, [len(bucket)]])).astype(np.uint32)
+    columns = [np.array(x, dtype=np.int64)[own[first]] for x in (ids, labels)]
+    number = np.unique(bucket)
+    edges = np.concatenate([number, [buckets]])
+    token_at, run_at = np.searchsorted(bucket, edges), np.searchsorted(bucket[first], edges)
+    cut = [(low[token_at[i] : token_at[i + 1]].tobytes(), *(c[run_at[i] : run_at[i + 1]].tobytes() for c in (*columns, runs))) for i in range(len(number))]
+    return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*cut, strict=True)]], names=["bucket", "tokens", "ids", "labels", "runs"])
+
+
 def _packer(buckets: int):
+    """Packs the sets of texts, each its own label, or given sets with their labels."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
-        classes: list[int] = []
+        ids: list[int] = []
+        labels: list[int] = []
         met: set[int] = set()
         held = 0
-
-        def deal() -> pa.RecordBatch:
-            nonlocal held
-            tokens = np.concatenate(sets)
-            own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-            bucket, own, low = bucket[order], own[order], tokens[order].astype(np.uint32)
-            first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1])]))
-            runs = np.diff(np.concatenate([first, [len(bucket)]])).astype(np.uint32)
-            ids = np.array(classes, dtype=np.int64)[own[first]]
-            number = np.unique(bucket)
-            token_at = np.searchsorted(bucket, np.concatenate([number, [buckets]]))
-            run_at = np.searchsorted(bucket[first], np.concatenate([number, [buckets]]))
-            rows = [(low[token_at[i] : token_at[i + 1]].tobytes(), ids[run_at[i] : run_at[i + 1]].tobytes(), runs[run_at[i] : run_at[i + 1]].tobytes()) for i in range(len(number))]
-            sets.clear()
-            classes.clear()
-            met.clear()
-            held = 0
-            return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]], names=["bucket", "tokens", "classes", "runs"])
-
         for batch in batches:
-            for tokens in shingle_sets(batch.column("text")):
-                if len(tokens) and (cid := class_of(tokens)) not in met:
+            if "text" in batch.schema.names:
+                rows = ((c := class_of(t), c, t) for t in shingle_sets(batch.column("text")))
+            else:
+                rows = zip(batch.column("cid").to_pylist(), batch.column("label").to_pylist(), _token_arrays(batch.column("tokens")), strict=True)
+            for cid, label, tokens in rows:
+                if len(tokens) and cid not in met:
                     met.add(cid)
                     sets.append(tokens)
-                    classes.append(cid)
+                    ids.append(cid)
+                    labels.append(label)
                     held += len(tokens)
                     if held >= PACK_TOKENS:
-                        yield deal()
+                        yield _pack(sets, ids, labels, buckets)
+                        sets, ids, labels, met, held = [], [], [], set(), 0
         if sets:
-            yield deal()
+            yield _pack(sets, ids, labels, buckets)
 
     return pack
 
 
-def _shared(block: pa.Table) -> pa.Table:
-    """For each class in a bucket, how many of its tokens another class has too."""
+def _token_arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    flat, offsets = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+    for low, high in zip(offsets, offsets[1:], strict=False):
+        yield flat[int(low) : int(high)]
+
+
+def _joined(block: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype=kind) for x in block[name].to_pylist()])
+
+
+def _sharer(parts: int):
+    """For each set in a bucket, how many of its tokens a set of another label has too; packed by parts of the ids."""
 
-    def joined(name: str, kind: type) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, dtype=kind) for x in block[name].to_pylist()])
+    def count(block: pa.Table) -> pa.Table:
+        runs = _joined(block, "runs", np.uint32)
+        ids, number = np.unique(_joined(block, "ids", np.int64), return_inverse=True)
+        label_of = np.zeros(len(ids), dtype=np.int64)
+        label_of[number] = np.unique(_joined(block, "labels", np.int64), return_inverse=True)[1]
+        pairs = np.sort((_joined(block, "tokens", np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(number.astype(np.uint64), runs))
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+        token, own = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        label = label_of[own]
+        mixed = np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)
+        counts = np.bincount(own[np.repeat(mixed, np.diff(np.concatenate([head, [len(token)]])))], minlength=len(ids))
+        some = np.flatnonzero(counts)
+        part = (ids[some].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        some, part = some[order], part[order]
+        present = np.unique(part)
+        at = np.searchsorted(part, np.concatenate([present, [parts]]))
+        cut = [(ids[some[a:b]].tobytes(), counts[some[a:b]].astype(np.uint32).tobytes()) for a, b in zip(at, at[1:], strict=False)]
+        return pa.table({"part": pa.array(present, pa.int32()), "ids": pa.array([c[0] for c in cut], pa.binary()), "counts": pa.array([c[1] for c in cut], pa.binary())})
 
-    tokens, runs = joined("tokens", np.uint32), joined("runs", np.uint32)
-    classes, number = np.unique(joined("classes", np.int64), return_inverse=True)
-    pairs = np.sort((tokens.astype(np.uint64) << np.uint64(32)) | np.repeat(number.astype(np.uint64), runs))
-    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
-    token = pairs >> np.uint64(32)
-    same = token[1:] == token[:-1]
-    together = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    counts = np.bincount((pairs[together] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(classes))
-    some = counts > 0
-    return pa.table({"cid": pa.array(classes[some], pa.int64()), "shared": pa.array(counts[some], pa.int64())})
+    return count
+
+
+def _totals(block: pa.Table) -> pa.Table:
+    ids, number = np.unique(_joined(block, "ids", np.int64), return_inverse=True)
+    return pa.table({"cid": pa.array(ids, pa.int64()), "shared": pa.array(np.bincount(number, weights=_joined(block, "counts", np.uint32)).astype(np.int64), pa.int64())})
+
+
+def shared_counts(rows: DataFrame, total: int) -> DataFrame:
+    """cid, shared: how many tokens of a set are in sets of other labels. rows: text, or cid, label, tokens; total: their tokens.
+
+    All tokens are dealt by their value and no more than about BUCKET_TOKENS meet in a task. Tokens that agree in the
+    bits kept count as equal, so a count may be too high by a few, never too low.
+    """
+    buckets = max(1, -(-total // BUCKET_TOKENS))
+    packed = rows.mapInArrow(_packer(buckets), "bucket int, tokens binary, ids binary, labels binary, runs binary")
+    counted = packed.groupBy("bucket").applyInArrow(_sharer(max(1, buckets // 8)), "part int, ids binary, counts binary")
+    return counted.groupBy("part").applyInArrow(_totals, "cid long, shared long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds = hashing.mix64(np.arange(1, ROUNDS + 1, dtype=np.uint64))
     for batch in batches:
         rows = []
-        for cid, tokens in zip(batch.column("cid").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+        for cid, shared, tokens in zip(batch.column("cid").to_pylist(), batch.column("shared").to_pylist(), shingle_sets(batch.column("text")), strict=True):
             if class_of(tokens) == cid:
-                rows.append((cid, len(tokens), tokens.view(np.int64), np.array([hashing.mix64(tokens ^ s).min() for s in seeds]).view(np.int64)))
+                rows.append((cid, len(tokens), max(0, len(tokens) - shared), tokens.view(np.int64), np.array([hashing.mix64(tokens ^ s).min() for s in seeds]).view(np.int64)))
         if rows:
-            cids, sizes, sets, keys = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(list(sets), pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names=["cid", "n", "tokens", "keys"])
+            cids, sizes, alone, sets, keys = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(alone, pa.int64()), pa.array(list(sets), pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names=["cid", "n", "alone", "tokens", "keys"])
 
 
 def _close_in_size(a: Column, b: Column) -> Column:
@@ -161,81 +218,114 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _surviving_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """cid, n, tokens, keys of the classes that share enough of their tokens with others."""
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_TOKENS))
-    packed = docs.select("text").mapInArrow(_packer(buckets), "bucket int, tokens binary, classes binary, runs binary")
-    shared = packed.groupBy("bucket").applyInArrow(_shared, "cid long, shared long").groupBy("cid").agg(F.sum("shared").alias("shared"))
+    """cid, n, alone (tokens that no other class has), tokens, keys of the classes that share enough of their tokens with others."""
+    shared = shared_counts(docs.select("text"), rows.agg(F.sum("n")).first()[0] or 0)
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    enough = write_table(classes.join(shared, "cid").where(F.col("shared") >= needed(F.col("n"))).select("cid", "rep"), "jaccard-enough")
+    enough = write_table(classes.join(shared, "cid").where(F.col("shared") >= smallest(F.col("n"))).select("cid", "rep", "shared"), "jaccard-enough", small=True)
     found = docs.select("doc_id", "text").join(enough, F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = found.select("cid", "text").mapInArrow(_sets, "cid long, n long, tokens array<bigint>, keys array<bigint>")
-    return write_table(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("keys").alias("keys")), "jaccard-sets")
+    sets = found.select("cid", "shared", "text").mapInArrow(_sets, "cid long, n long, alone long, tokens array<bigint>, keys array<bigint>")
+    return write_table(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens"), F.first("keys").alias("keys")), "jaccard-sets")
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> bool:
+    if 100 * min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= SIMILARITY * (len(a) + len(b) - both)
+
+
+def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the sets under one key with the key's first few sets that link with none before them."""
+    now: object = None
+    firsts: list[tuple[int, np.ndarray]] = []
+    for batch in batches:
+        edges: list[tuple[int, int]] = []
+        keys = zip(*(batch.column(c).to_pylist() for c in ("round", "key", "sub", "cid")), strict=True)
+        for (*group, cid), tokens in zip(keys, _token_arrays(batch.column("tokens")), strict=True):
+            if group != now:
+                now, firsts = group, []
+            met = [other for other, theirs in firsts if _links(tokens, theirs)]
+            edges += [(cid, other) for other in met]
+            if not met and len(firsts) < FIRSTS:
+                firsts.append((cid, tokens.copy()))
+        columns = list(zip(*edges, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
 
 
 def _groups(sets: DataFrame) -> DataFrame:
-    """cid, n, leader, slice: every class in a group of classes that link with its leader."""
-    spark = sets.sparkSession
-    members = spark.createDataFrame([], "cid long, leader long")
-    for k in range(ROUNDS):
-        pool = sets.select("cid", F.col("keys")[k].alias("key"))
-        known = members.select(F.col("cid").alias("_m"), F.col("leader").alias("_l"))
-        pool = pool.join(known, F.col("cid") == F.col("_m"), "left").where(F.col("_l").isNull() | (F.col("_l") == F.col("cid")))
-        pool = write_table(pool.select("key", "cid", F.col("_l").isNull().alias("free")), f"jaccard-pool-{k}")
-        best = pool.groupBy("key").agg(F.min(F.struct("free", "cid")).alias("best"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        best = best.select(F.col("key").alias("_key"), F.col("best.cid").alias("b"))
-        pairs = pool.where("free").join(best, F.col("key") == F.col("_key")).where("cid <> b").select(F.col("cid").alias("a"), "b")
-        new = write_table(_linked(pairs, sets).select(F.col("a").alias("cid"), F.col("b").alias("leader")), f"jaccard-members-{k}")
-        leaders = new.select(F.col("leader").alias("cid"), "leader").distinct()
-        members = write_table(members.union(new).union(leaders).distinct(), f"jaccard-groups-{k}")
-    every = sets.select("cid", "n").join(members.withColumnRenamed("cid", "_m"), F.col("cid") == F.col("_m"), "left")
-    every = every.select("cid", "n", F.coalesce("leader", "cid").alias("leader"))
-    sizes = every.groupBy(F.col("leader").alias("_l")).agg(F.count(F.lit(1)).alias("_size"))
-    sized = every.join(sizes, F.col("leader") == F.col("_l"))
-    slices = F.ceil(F.col("_size") / SLICE)
-    return write_table(sized.select("cid", "n", "leader", F.xxhash64("leader", F.pmod(F.xxhash64("cid"), slices)).alias("slice")), "jaccard-slices")
+    """cid, n, label, slice: every class in a group of classes that exact links connect."""
+    keyed = sets.select("cid", "alone", "tokens", F.posexplode("keys").alias("round", "key"))
+    crowds = sets.select("cid", F.posexplode("keys").alias("round", "key")).groupBy("round", "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD)
+    crowds = crowds.select(F.col("round").alias("_r"), F.col("key").alias("_k"), "_n")
+    keyed = keyed.join(crowds, (F.col("round") == F.col("_r")) & (F.col("key") == F.col("_k")), "left")
+    keyed = keyed.withColumn("sub", F.pmod(F.xxhash64("cid", "round"), F.ceil(F.coalesce("_n", F.lit(1)) / CROWD))).select("round", "key", "sub", "cid", "alone", "tokens")
+    # Those with the fewest tokens of their own come first: they are the likeliest to link with what follows.
+    dealt = keyed.repartition("round", "key", "sub").sortWithinPartitions("round", "key", "sub", "alone", "cid")
+    edges = write_table(dealt.mapInArrow(_cluster, "u long, v long"), "jaccard-links", small=True)
+    labels = connected_components(edges)
+    every = sets.select("cid", "n").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "n", F.coalesce("component", "cid").alias("label"))
+    every = write_table(every, "jaccard-labelled-sets", small=True)
+    sizes = every.groupBy(F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("size"))
+    sized = every.join(sizes, F.col("label") == F.col("_l")).withColumn("band", size_band(F.col("n")))
+    slices = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / SLICE))
+    return write_table(sized.select("cid", "n", "label", "size", "band", F.xxhash64("label", "band", slices).alias("slice")), "jaccard-groups", small=True)
 
 
 def _qualifying(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """cid, home (its leader), slice, leader: queries and the slices whose unions may hold a link, of other groups."""
-    placed = sets.select(F.col("cid").alias("_c"), "tokens").join(groups, F.col("_c") == F.col("cid")).select("cid", "n", "leader", "slice", F.explode("tokens").alias("token"))
-    across = placed.groupBy("token").agg(F.min("leader").alias("_low"), F.max("leader").alias("_high"), F.count(F.lit(1)).alias("df")).where("_low <> _high").select(F.col("token").alias("_t"), "df")
-    cells = placed.join(across, F.col("token") == F.col("_t")).select("cid", "n", "leader", "slice", "token", "df")
+    """cid, home (its label), slice, label: queries and the slices of other groups whose unions may hold a link."""
+    labelled = sets.select(F.col("cid").alias("_c"), "tokens").join(groups, F.col("_c") == F.col("cid")).select("cid", "n", "label", "slice", "tokens")
+    shared = shared_counts(labelled.select("cid", "label", "tokens"), groups.agg(F.sum("n")).first()[0] or 0)
+    able = shared.withColumnRenamed("cid", "_a").join(groups, F.col("_a") == F.col("cid")).where(F.col("shared") >= smallest(F.col("n")))
+    able = write_table(able.select(*groups.columns), "jaccard-able", small=True)
+    # A link across groups has two able ends, so only tokens of able classes count from here on.
+    cells = sets.select(F.col("cid").alias("_c"), F.explode("tokens").alias("token")).join(able, F.col("_c") == F.col("cid")).drop("_c")
     cells = write_table(cells, "jaccard-cells")
-    counts = cells.groupBy("cid").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("_n")).where(F.col("held") >= needed(F.col("_n")))
-    able = write_table(counts.select(F.col("cid").alias("_able"), "held"), "jaccard-able")
-    cells = cells.join(able, F.col("cid") == F.col("_able"))
-    matrix = cells.select("token", "slice", "leader").distinct()
-    # Of a query's tokens outside its own group, in order of rarity, these cannot all be missed.
-    probes = cells.groupBy("cid").agg(F.first("n").alias("n"), F.first("leader").alias("home"), F.first("held").alias("held"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_cells"))
-    probes = probes.select("cid", "n", "home", F.explode(F.slice("_cells", F.lit(1), (F.col("held") - needed(F.col("n")) + 1).cast("int"))["token"]).alias("_token"))
-    candidates = probes.join(matrix, (F.col("_token") == F.col("token")) & (F.col("home") != F.col("leader"))).select("cid", "n", "home", "slice", "leader").distinct()
+    across = cells.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("df")).where("_low <> _high")
+    cells = write_table(cells.join(across.select(F.col("token").alias("_t"), "df"), F.col("token") == F.col("_t")).drop("_t"), "jaccard-matrix")
+    # `held` tokens are all that a class can have in common with others, so its partners have at most `top` tokens.
+    counts = cells.groupBy("cid").agg(F.count(F.lit(1)).alias("held"), *[F.first(c).alias(c) for c in ("n", "label", "size", "band", "slice")])
+    top = F.floor(F.col("held") * (100 + SIMILARITY) / SIMILARITY).cast("long") - F.col("n")
+    held = write_table(counts.withColumn("top", top).where(F.col("top") >= smallest(F.col("n"))), "jaccard-held", small=True)
+    spans = held.groupBy(F.col("slice").alias("_z")).agg(F.min("n").alias("least"), F.max("top").alias("top"))
+    matrix = cells.join(held.select(F.col("cid").alias("_h")), F.col("cid") == F.col("_h")).select("token", "slice", "label", "size", "band").distinct()
+    matrix = write_table(matrix.join(spans, F.col("slice") == F.col("_z")).drop("_z"), "jaccard-unions")
+    # The end in the smaller group is the query. For each band of partner sizes, its tokens outside its own group, in order
+    # of rarity, as far as they cannot all be missed.
+    largest = F.least(F.col("top"), F.floor(F.col("n") * 100 / SIMILARITY).cast("long"))
+    queries = held.select(F.col("cid").alias("_p"), F.col("held").alias("_held"), F.explode(F.sequence(size_band(smallest(F.col("n"))), size_band(largest))).alias("_band"), "n")
+    least_of_band = F.greatest(F.ceil(F.pow(F.lit(2.0), F.col("_band") / BANDS) - 1e-9).cast("long"), smallest(F.col("n")))
+    queries = queries.withColumn("_take", (F.col("_held") - needed(F.col("n"), least_of_band) + 1).cast("int")).where("_take > 0").groupBy("_p").agg(F.collect_list(F.struct("_band", "_take")).alias("_takes"))
+    probes = cells.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "label", "size")], F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_cells"))
+    probes = probes.join(queries, F.col("cid") == F.col("_p")).select("cid", "n", F.col("label").alias("home"), F.col("size").alias("_size"), "_cells", F.explode("_takes").alias("_t"))
+    probes = probes.select("cid", "n", "home", "_size", F.col("_t._band").alias("_band"), F.explode(F.slice("_cells", F.lit(1), F.col("_t._take"))["token"]).alias("_token"))
+    smaller = (F.col("_size") < F.col("size")) | ((F.col("_size") == F.col("size")) & (F.col("home") < F.col("label")))
+    meets = (F.col("_token") == F.col("token")) & (F.col("_band") == F.col("band")) & smaller & (F.col("n") <= F.col("top"))
+    candidates = probes.join(matrix, meets).select("cid", "n", "home", "slice", "label", "least").distinct()
     unions = matrix.groupBy(F.col("slice").alias("_s")).agg(F.collect_set("token").alias("union"))
-    spans = groups.groupBy(F.col("slice").alias("_z")).agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
-    bounded = candidates.join(spans, (F.col("slice") == F.col("_z")) & (F.col("_least") * SIMILARITY <= F.col("n") * 100) & (F.col("_most") * 100 >= F.col("n") * SIMILARITY))
-    bounded = bounded.join(unions, F.col("slice") == F.col("_s")).join(sets.select(F.col("cid").alias("_q"), "tokens"), F.col("cid") == F.col("_q"))
-    return write_table(bounded.where(F.size(F.array_intersect("tokens", "union")) >= needed(F.col("n"))).select("cid", "home", "slice", "leader"), "jaccard-qualifying")
+    bounded = candidates.join(unions, F.col("slice") == F.col("_s")).join(sets.select(F.col("cid").alias("_q"), "tokens"), F.col("cid") == F.col("_q"))
+    enough = needed(F.col("n"), F.greatest(F.col("least"), smallest(F.col("n"))))
+    return write_table(bounded.where(F.size(F.array_intersect("tokens", "union")) >= enough).select("cid", "home", "slice", "label"), "jaccard-qualifying", small=True)
 
 
 def _group_components(sets: DataFrame, groups: DataFrame) -> DataFrame | None:
-    """node, component over the leaders of groups that link."""
+    """node, component over the labels of groups that link; null if none do."""
     opened = _qualifying(sets, groups)
     if opened.isEmpty():
         return None
-    by_leader = opened.select(F.col("cid").alias("a"), F.col("leader").alias("b"), "home").distinct()
-    edges = write_table(_linked(by_leader, sets).select(F.col("home").alias("u"), F.col("b").alias("v")).distinct(), "jaccard-edges")
-    merged = write_table(connected_components(edges), "jaccard-merged")
+    tried = groups.groupBy(F.col("slice").alias("_s")).agg(F.min("cid").alias("b"))
+    by_one = opened.join(tried, F.col("slice") == F.col("_s")).select(F.col("cid").alias("a"), "b", "home", "label").distinct()
+    edges = write_table(_linked(by_one, sets).select(F.col("home").alias("u"), F.col("label").alias("v")).distinct(), "jaccard-edges", small=True)
+    merged = write_table(connected_components(edges), "jaccard-merged", small=True)
     at_home = merged.select(F.col("node").alias("_h"), F.col("component").alias("_hc"))
     there = merged.select(F.col("node").alias("_g"), F.col("component").alias("_gc"))
-    apart = opened.join(at_home, F.col("home") == F.col("_h"), "left").join(there, F.col("leader") == F.col("_g"), "left")
-    apart = apart.where(F.coalesce("_hc", "home") != F.coalesce("_gc", "leader")).select("cid", "home", "slice", "leader")
-    apart = write_table(apart, "jaccard-apart")
+    apart = opened.join(at_home, F.col("home") == F.col("_h"), "left").join(there, F.col("label") == F.col("_g"), "left")
+    apart = write_table(apart.where(F.coalesce("_hc", "home") != F.coalesce("_gc", "label")).select("cid", "home", "slice", "label"), "jaccard-apart", small=True)
     if apart.isEmpty():
         return merged
     members = groups.select(F.col("cid").alias("b"), F.col("n").alias("_nb"), F.col("slice").alias("_s"))
     own = groups.select(F.col("cid").alias("_c"), F.col("n").alias("_na"))
-    pairs = apart.join(own, F.col("cid") == F.col("_c")).join(members, (F.col("slice") == F.col("_s")) & (F.col("b") != F.col("leader")) & _close_in_size(F.col("_na"), F.col("_nb")))
-    more = _linked(pairs.select(F.col("cid").alias("a"), "b", "home", "leader"), sets).select(F.col("home").alias("u"), F.col("leader").alias("v"))
+    pairs = apart.join(own, F.col("cid") == F.col("_c")).join(members, (F.col("slice") == F.col("_s")) & _close_in_size(F.col("_na"), F.col("_nb")))
+    more = _linked(pairs.select(F.col("cid").alias("a"), "b", "home", "label"), sets).select(F.col("home").alias("u"), F.col("label").alias("v"))
     return connected_components(edges.union(more).distinct())
 
 
@@ -245,22 +335,22 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sets = _surviving_sets(docs, rows)
     groups = _groups(sets)
     merged = _group_components(sets, groups)
-    labels = groups.select(F.col("cid").alias("_cid"), F.col("leader").alias("label"))
+    labels = groups.select(F.col("cid").alias("_cid"), "label")
     if merged is not None:
         labels = labels.join(merged, F.col("label") == F.col("node"), "left").select("_cid", F.coalesce("component", "label").alias("label"))
-    labels = write_table(labels, "jaccard-labels")
+    labels = write_table(labels, "jaccard-labels", small=True)
     found = rows.join(labels, (F.col("cid") == F.col("_cid")) & (F.col("n") > 0), "left").select("doc_id", "n", "cid", F.coalesce("label", "cid").alias("label"))
     found = write_table(found, "jaccard-labelled")
-    least = write_table(found.where("n > 0").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_label", "least"), "jaccard-least")
+    least = write_table(found.where("n > 0").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_label", "least"), "jaccard-least", small=True)
     out = found.join(least, (F.col("label") == F.col("_label")) & (F.col("n") > 0), "left")
     return out.select("doc_id", "n", "cid", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but the smallest doc_id of every component; of rows with one doc_id, the first stays."""
-    found = similar_documents(docs)
-    gone = found.where((F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents without all but the smallest doc_id of every component; rows that share that doc_id stay together."""
+    found = similar_documents(docs.select("doc_id", "text"))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def op6(docs: DataFrame) -> DataFrame:

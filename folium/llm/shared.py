@@ -32,10 +32,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/folium/{label}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends here, lost executors cost nothing before it."""
+def write_table(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends here, lost executors cost nothing before it.
+
+    small: the table holds few or narrow rows, so as many files as the cluster runs tasks at once will do.
+    """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if small else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
