@@ -10,7 +10,8 @@ With one block nothing is shuffled; with more, spans of the blocks meet by docum
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no
 phrase; items with one id count as one, and a null id counts as an empty one; repeated rows are
-each searched; an empty documents or benchmark table gives no rows or no hits.
+each searched; an empty documents or benchmark table gives no rows or no hits;
+columns n_words, spans and items of the input are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -201,7 +202,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Phrases | None]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The kept columns of every document with n_words, spans (of words, half-open) and items (sorted as strings)."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in FOUND.names]
     schema = T.StructType([docs.schema[c] for c in keep] + FOUND.fields)
     blocks = list(_blocks(benchmark, block_bytes))
     source = docs if "text" in keep else docs.select(*keep, "text")

@@ -10,7 +10,8 @@ is one that Spark splits where a line is very common; texts move once, by docume
 
 Defined cases: a null or empty text is one empty line; a null doc_id is a document of its own
 that comes after all ids; rows sharing a doc_id are one document for counting, and each such
-row loses or keeps its own lines; an empty table gives no rows.
+row loses or keeps its own lines; an empty table gives no rows; columns
+n_lines and n_dropped of the input are replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -35,33 +36,33 @@ def line_key(line: Column) -> Column:
 
 def _row_key() -> list[Column]:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return [F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text, F.length(text)).alias("_row")]
+    return [F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("_lines_id"), F.xxhash64(text, F.length(text)).alias("_lines_row")]
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of docs with `text` rewritten, plus n_lines and n_dropped."""
     keyed = docs.select(*_row_key(), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     keyed = keyed.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
-    hashes = write_table(keyed.select("_id", "_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")), "line-hashes")
+    hashes = write_table(keyed.select("_lines_id", "_lines_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")), "line-hashes")
 
     if min_docs <= 2:
-        seen = hashes.groupBy("h1", "h2").agg(F.min("_id").alias("keeper"), F.max("_id").alias("_last"))
+        seen = hashes.groupBy("h1", "h2").agg(F.min("_lines_id").alias("keeper"), F.max("_lines_id").alias("_last"))
         shared = seen.where((F.col("keeper") < F.col("_last")) | F.lit(min_docs < 2))
     else:
-        seen = hashes.select("h1", "h2", "_id").distinct().groupBy("h1", "h2").agg(F.min("_id").alias("keeper"), F.count(F.lit(1)).alias("_n"))
+        seen = hashes.select("h1", "h2", "_lines_id").distinct().groupBy("h1", "h2").agg(F.min("_lines_id").alias("keeper"), F.count(F.lit(1)).alias("_n"))
         shared = seen.where(F.col("_n") >= min_docs)
     shared = write_table(shared.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "keeper"), "line-shared")
-    dropped = hashes.join(shared, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("_id") != F.col("keeper")))
-    dropped = dropped.groupBy(F.col("_id").alias("_did"), F.col("_row").alias("_drow")).agg(F.collect_set("pos").alias("_drop"))
+    dropped = hashes.join(shared, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("_lines_id") != F.col("keeper")))
+    dropped = dropped.groupBy(F.col("_lines_id").alias("_lines_did"), F.col("_lines_row").alias("_lines_drow")).agg(F.collect_set("pos").alias("_lines_drop"))
 
     marked = docs.select("*", *_row_key())
-    marked = marked.join(dropped, (F.col("_id") == F.col("_did")) & (F.col("_row") == F.col("_drow")), "left")
+    marked = marked.join(dropped, (F.col("_lines_id") == F.col("_lines_did")) & (F.col("_lines_row") == F.col("_lines_drow")), "left")
     lines = lines_of(F.col("text"))
-    marked = marked.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-    marked = marked.withColumn("n_dropped", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long"))
-    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("_drop", lambda p: p + 1))
+    marked = marked.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_lines_drop"), F.lit(0)).cast("long"))
+    marked = marked.withColumn("n_dropped", F.when(F.col("_lines_drop").isNull(), F.lit(0)).otherwise(F.size("_lines_drop")).cast("long"))
+    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("_lines_drop", lambda p: p + 1))
     text = F.when(F.col("n_dropped") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda p: F.element_at(lines, p)), "\n"))
-    return marked.withColumn("text", text).drop("_id", "_row", "_did", "_drow", "_drop")
+    return marked.withColumn("text", text).drop("_lines_id", "_lines_row", "_lines_did", "_lines_drow", "_lines_drop")
 
 
 def op2(docs: DataFrame) -> DataFrame:

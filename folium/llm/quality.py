@@ -13,7 +13,8 @@ of sparse features learns; the weights are a table of fixed size.
 
 Defined cases: a null or empty text is scored by the intercept alone; labels without a document, null
 labels and null ids are not learned from; documents with several labels count once per
-label; without a usable label all weights are 0 and every score is 0.5; an empty table gives no rows.
+label; without a usable label all weights are 0 and every score is 0.5; an empty table gives no rows;
+a column quality_score of the input is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of docs with `quality_score`, higher for texts that are likelier to have label 1."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "quality_score"]
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

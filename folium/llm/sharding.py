@@ -10,7 +10,8 @@ subtrees on its path changes.
 
 Defined cases: a null id draws like any other value (all null ids share one shard); a null
 text has no bytes and the checksum of an empty text; repeated rows share a shard and take
-separate slots; an empty table gives no rows; other columns of the input are ignored.
+separate slots; an empty table gives no rows; columns
+region, rack, shard, grown_shard and slot of the input are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -74,26 +75,26 @@ def number_rows(rows: DataFrame, by: str, order: list[Column], rows_per_run: int
     """
     total = rows.count()
     runs = max(1, total // rows_per_run // SHARDS + 1)
-    spread = rows.withColumn("_run", F.pmod(F.xxhash64(*order), F.lit(runs)).cast("int"))
-    counts = spread.groupBy(by, "_run").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(by).alias("_by"), F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(by, "_run").orderBy(*order)
-    numbered = spread.withColumn("_at", F.row_number().over(inside) - 1)
-    joined = numbered.join(offsets, (F.col(by) == F.col("_by")) & (F.col("_run") == F.col("_r")))
-    return joined.withColumn("slot", (F.col("_before") + F.col("_at")).cast("long")).drop("_run", "_by", "_r", "_n", "_at", "_before")
+    spread = rows.withColumn("_shards_run", F.pmod(F.xxhash64(*order), F.lit(runs)).cast("int"))
+    counts = spread.groupBy(by, "_shards_run").agg(F.count(F.lit(1)).alias("_shards_n"))
+    before = Window.partitionBy(by).orderBy("_shards_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(by).alias("_shards_by"), F.col("_shards_run").alias("_shards_r"), F.coalesce(F.sum("_shards_n").over(before), F.lit(0)).alias("_shards_before"))
+    inside = Window.partitionBy(by, "_shards_run").orderBy(*order)
+    numbered = spread.withColumn("_shards_at", F.row_number().over(inside) - 1)
+    joined = numbered.join(offsets, (F.col(by) == F.col("_shards_by")) & (F.col("_shards_run") == F.col("_shards_r")))
+    return joined.withColumn("slot", (F.col("_shards_before") + F.col("_shards_at")).cast("long")).drop("_shards_run", "_shards_by", "_shards_r", "_shards_n", "_shards_at", "_shards_before")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, weights: dict[int, float] | None = None, grow: bool = True) -> DataFrame:
     """Shard, and with grow the shard under one shard more, of every row; all columns of docs are kept."""
     tree = topology(shards, weights)
-    out = docs.withColumn("_tree", descend(F.col("doc_id"), tree))
-    out = out.withColumn("region", F.col("_tree.region")).withColumn("rack", F.col("_tree.rack")).withColumn("shard", F.col("_tree.shard"))
+    out = docs.withColumn("_shards_tree", descend(F.col("doc_id"), tree))
+    out = out.withColumn("region", F.col("_shards_tree.region")).withColumn("rack", F.col("_shards_tree.rack")).withColumn("shard", F.col("_shards_tree.shard"))
     if grow:
         more = topology(shards + 1, weights)[shards:]
-        added = F.least(F.col("_tree"), *[F.struct(_draw(F.col("doc_id"), x).alias("draw"), F.lit(x.region).alias("region"), F.lit(x.rack).alias("rack"), F.lit(x.shard).alias("shard")) for x in more])
+        added = F.least(F.col("_shards_tree"), *[F.struct(_draw(F.col("doc_id"), x).alias("draw"), F.lit(x.region).alias("region"), F.lit(x.rack).alias("rack"), F.lit(x.shard).alias("shard")) for x in more])
         out = out.withColumn("grown_shard", added["shard"])
-    return out.drop("_tree")
+    return out.drop("_shards_tree")
 
 
 def op4(docs: DataFrame) -> DataFrame:
