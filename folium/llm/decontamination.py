@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from folium.llm import hashing
 from folium.llm.fm_index import FMIndex
+from folium.llm.shared import lean_batches
 
 WINDOW = 10
 #: Bytes of benchmark text that a block holds, about; a block is broadcast.
@@ -205,7 +206,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     keep = [c for c in (docs.columns if keep is None else keep) if c not in FOUND.names]
     schema = T.StructType([docs.schema[c] for c in keep] + FOUND.fields)
     blocks = list(_blocks(benchmark, block_bytes))
-    source = docs if "text" in keep else docs.select(*keep, "text")
+    source = lean_batches(docs if "text" in keep else docs.select(*keep, "text"))
     parts = [source.mapInArrow(_finder(phrases, keep), schema) for phrases in blocks]
     if len(parts) == 1:
         return parts[0]

@@ -16,7 +16,8 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 STEP = 0xD6E8FEB86659FD93
-SLAB = 1 << 20
+#: Bytes that are hashed at a time; arrays of eight bytes for each are held meanwhile.
+SLAB = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

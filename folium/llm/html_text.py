@@ -25,6 +25,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folium.llm.shared import lean_batches
+
 MOST_TABLES = 20
 MOST_COLUMNS_SPANNED, MOST_ROWS_SPANNED = 1000, 1000
 
@@ -477,7 +479,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_lines of every page."""
-    rows = pages.selectExpr("cast(page_id as long) as page_id", "url", "html")
+    rows = lean_batches(pages).selectExpr("cast(page_id as long) as page_id", "url", "html")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_lines long")
 
 

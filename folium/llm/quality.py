@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folium.llm import hashing
+from folium.llm.shared import lean_batches
 
 BITS = 18
 #: Labelled rows that are learned from, at most.
@@ -146,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     """Weights from at most `sample` labelled rows outside the held-out fold."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE rows of two numbers
+    texts = lean_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE rows of two numbers
     sparse = texts.select("doc_id", "quality", "text").mapInArrow(_sparse, "doc_id long, quality int, at array<int>, x array<float>")
     found = sparse.repartition(1).mapInArrow(_learner, "weights binary").collect()  # one row of fixed size
     return np.frombuffer(found[0][0]) if found else np.zeros((1 << BITS) + 1)
@@ -163,7 +164,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], scores], names=[*keep, "quality_score"])
 
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("quality_score", T.DoubleType())])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return lean_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:

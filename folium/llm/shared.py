@@ -49,6 +49,18 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of an Arrow batch: texts are long, and a worker holds a few batches at a time.
+BATCH_ROWS = 1_000
+
+
+def lean_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session hands Python small batches, unless it was told a size of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

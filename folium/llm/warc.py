@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.shared import new_folder, write_table
+from folium.llm.shared import lean_batches, new_folder, write_table
 
 MIN_BYTES = 1000
 #: Payload bytes after which a task begins another archive.
@@ -242,7 +242,7 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes all pages as archives with sidecars under folder; returns a table of archive and n_records."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html", F.sha1(body).alias("digest"))
+    rows = lean_batches(pages).select("page_id", "url", "html", F.sha1(body).alias("digest"))
     marked = rows.join(revisits(pages), F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("again_digest")), "left")
     manifest = marked.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.col("keeper").cast("long").alias("keeper")).mapInArrow(_writer(folder, archive_bytes), "archive string, n_records long")
     return write_table(manifest, "warc-manifest")
