@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from folium.llm import hashing
 from folium.llm.components import connected_components
-from folium.llm.shared import write_table
+from folium.llm.shared import lean_batches, write_table
 
 WIDTH = 5
 SIMILARITY = 75
@@ -52,6 +52,8 @@ PACK_TOKENS = 1 << 20
 ROUNDS, FIRSTS = 3, 8
 #: Sets under one key that one task clusters, about; beyond, the key is split.
 CROWD = 4096
+#: Classes that go on from step 1 are broadcast up to so many, 24 bytes each.
+FEW_CLASSES = 500_000
 #: Members of a group, of sizes in one of BANDS bands to a doubling, that share one token union.
 SLICE, BANDS = 256, 8
 
@@ -222,6 +224,8 @@ def _surviving_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     shared = shared_counts(docs.select("text"), rows.agg(F.sum("n")).first()[0] or 0)
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     enough = write_table(classes.join(shared, "cid").where(F.col("shared") >= smallest(F.col("n"))).select("cid", "rep", "shared"), "jaccard-enough", small=True)
+    # Few enough rows of three numbers go to the texts; else the texts are dealt by id.
+    enough = F.broadcast(enough) if enough.count() <= FEW_CLASSES else enough
     found = docs.select("doc_id", "text").join(enough, F.col("doc_id").eqNullSafe(F.col("rep")))
     sets = found.select("cid", "shared", "text").mapInArrow(_sets, "cid long, n long, alone long, tokens array<bigint>, keys array<bigint>")
     return write_table(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens"), F.first("keys").alias("keys")), "jaccard-sets")
@@ -256,7 +260,8 @@ def _groups(sets: DataFrame) -> DataFrame:
     """cid, n, label, slice: every class in a group of classes that exact links connect."""
     keyed = sets.select("cid", "alone", "tokens", F.posexplode("keys").alias("round", "key"))
     crowds = sets.select("cid", F.posexplode("keys").alias("round", "key")).groupBy("round", "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD)
-    crowds = crowds.select(F.col("round").alias("_r"), F.col("key").alias("_k"), "_n")
+    crowds = write_table(crowds.select(F.col("round").alias("_r"), F.col("key").alias("_k"), "_n"), "jaccard-crowds", small=True)
+    crowds = F.broadcast(crowds) if crowds.count() <= FEW_CLASSES else crowds
     keyed = keyed.join(crowds, (F.col("round") == F.col("_r")) & (F.col("key") == F.col("_k")), "left")
     keyed = keyed.withColumn("sub", F.pmod(F.xxhash64("cid", "round"), F.ceil(F.coalesce("_n", F.lit(1)) / CROWD))).select("round", "key", "sub", "cid", "alone", "tokens")
     # Those with the fewest tokens of their own come first: they are the likeliest to link with what follows.
@@ -331,7 +336,7 @@ def _group_components(sets: DataFrame, groups: DataFrame) -> DataFrame | None:
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), cid (class) and component_id for every row of docs."""
-    rows = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_classes, "doc_id long, n long, cid long"), "jaccard-classes")
+    rows = write_table(lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_classes, "doc_id long, n long, cid long"), "jaccard-classes")
     sets = _surviving_sets(docs, rows)
     groups = _groups(sets)
     merged = _group_components(sets, groups)
