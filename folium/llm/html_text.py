@@ -12,7 +12,8 @@ blocks. Every page is read in one pass, in time proportional to its length.
 
 Defined cases: a null or empty html gives an empty text; text without any tag is one paragraph;
 an unclosed tag or comment at the end is dropped; an element never closed ends with the page;
-repeated rows are rendered each; an empty table gives no rows; extra columns are ignored.
+repeated rows are rendered each; an empty table gives no rows; extra columns are ignored; text outside
+the cells of a table comes before it, as in browsers, unless its row or row group is hidden.
 """
 
 from __future__ import annotations
@@ -310,14 +311,25 @@ def _rows_of(table: Node) -> Iterator[tuple[Node, list[Node]]]:
         yield from _rows_of(part)
 
 
+def _loose_text(table: Node, shown: bool) -> Iterator[tuple[str, bool]]:
+    """Text that stands directly in a table, its row groups or its rows, in order, and whether it is shown."""
+    for part in table.children:
+        if isinstance(part, str):
+            if part.strip():
+                yield part, shown
+        elif part.tag in ("thead", "tbody", "tfoot") and not _unseen(part):
+            yield from _loose_text(part, _shown(part, shown))
+        elif part.tag == "tr" and not _unseen(part):
+            yield from ((c, _shown(part, shown)) for c in part.children if isinstance(c, str) and c.strip())
+
+
 def _table(table: Node, depth: int, pre: bool, shown: bool) -> list[str]:
     """A table as lines with aligned columns."""
     outside: list[str] = []
     grid: list[dict[int, tuple[list[str], int]]] = []
     blocked: dict[int, int] = {}  # column: rows for which a cell above still covers it
-    loose = [c for c in table.children if isinstance(c, str) and c.strip()]
-    for text in loose:
-        outside += render([text], depth + 1, pre, shown)
+    for text, seen in _loose_text(table, shown):
+        outside += render([text], depth + 1, pre, seen)
     for row, cells in _rows_of(table):
         if not cells:
             if row.tag != "tr":

@@ -120,6 +120,20 @@ def test_odd_html(page):
     assert isinstance(html_text.html_to_text(page), str)
 
 
+@pytest.mark.parametrize("parent", ["table", "thead", "tbody", "tfoot", "tr"])
+def test_html_keeps_text_outside_cells(parent):
+    inner = "note<tr><td>x</td></tr>" if parent != "tr" else "<tr>note<td>x</td></tr>"
+    page = f"<table>{inner}</table>" if parent in ("table", "tr") else f"<table><{parent}>{inner}</{parent}></table>"
+    assert html_text.html_to_text(page) == "note\nx"
+    assert html_text.html_to_text(page.replace("<td>x</td>", "")) == "note"
+    assert html_text.html_to_text(page.replace(f"<{parent}>", f"<{parent} style='display: none'>", 1)) == ""
+
+
+def test_html_keeps_text_outside_cells_in_order():
+    page = "<table>a<tfoot>b<tr>c<td>5</td>d</tr></tfoot><thead>e<tr><td>1</td></tr></thead><tbody><tr>f<td>2<table><tr>g<td>3</td></tr></table></td></tr></tbody></table>"
+    assert html_text.html_to_text(page).split() == list("abcdef12g35")
+
+
 def test_html_keeps_all_visible_words(spark):
     from html import unescape
 
