@@ -2,11 +2,12 @@
 
 Each source's documents are permuted by a hash and cut into blocks. A source's target fixes an
 exact quota: whole epochs over all its blocks, then whole blocks of one more epoch, then a part
-of one last block at document level. A binary tree over the output shards partitions the pool of
-all quota blocks: at each node the blocks are put in a hash order of that node and exactly the
-left side's share goes left, so the left side's count of each source is one multivariate
-hypergeometric draw. The leaf counts are the quotas of (source, shard); each shard then draws its
-quota as a disjoint run of the source's permuted blocks and shuffles its documents locally.
+of one last block at document level and, until none fits, other documents of the source, the
+largest first. A binary tree over the output shards partitions the pool of all quota blocks: at
+each node the blocks are put in a hash order of that node and exactly the left side's share goes
+left, so the left side's count of each source is one multivariate hypergeometric draw. The leaf
+counts are the quotas of (source, shard); each shard then draws its quota as a disjoint run of the
+source's permuted blocks and shuffles its documents locally.
 
 Only block rows, whose number is bounded by BLOCKS plus twice the sources, meet in one task;
 documents move as ids and sizes, never as texts.
@@ -84,6 +85,13 @@ def split_quotas(blocks: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     return nodes.groupBy("source", F.col("_low").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
 
 
+def _with_size(state: Column, group: Column) -> Column:
+    """Words left and how many documents of each size are picked, after as many as fit of the documents of one more size."""
+    n = F.least(group["n"], F.floor(state["left"] / group["size"]).cast("long"))
+    more = F.array(F.struct(group["size"].alias("size"), n.alias("n")))
+    return F.struct((state["left"] - n * group["size"]).alias("left"), F.when(n > 0, F.concat(state["picks"], more)).otherwise(state["picks"]).alias("picks"))
+
+
 def mix(sizes: DataFrame, shards: int = SHARDS, most_repeats: int = MOST_REPEATS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """A row for each time that the mix takes a document, with its place.
 
@@ -122,20 +130,26 @@ def mix(sizes: DataFrame, shards: int = SHARDS, most_repeats: int = MOST_REPEATS
     drawn = drawn.join(small(quotas), _same(F.col("source"), F.col("_source")) & (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to")))
     drawn = write_table(drawn.select("source", "block", "epoch", "shard"), "mix-drawn").withColumnsRenamed({"source": "_source", "block": "_block"})
 
-    # The partial block: its documents in hash order as far as they fit, then the largest one of the source's that fills what is left.
+    # The partial block: its documents in hash order as far as they fit.
     edges = per_block.withColumnsRenamed({"source": "_source", "block": "_block"}).select("_source", "_block", "room", "whole", "epochs", "source_size", "target")
     rows = placed.join(small(edges), _same(F.col("source"), F.col("_source")) & (F.col("block") == F.col("_block"))).drop("_source", "_block")
     in_block = Window.partitionBy("source", "block").orderBy("_draw", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
     partial = rows.where(F.col("room").isNotNull()).withColumn("_fits", F.sum("size").over(in_block) <= F.col("room"))
     rows = rows.where(F.col("room").isNull()).withColumn("_fits", F.col("whole")).unionByName(partial)
+    # What is left is filled from all documents of the source that are not in yet, the largest that fits first, until none fits.
     left = partial.groupBy("source").agg(F.first("room").alias("_room"), F.sum(F.when(F.col("_fits"), F.col("size")).otherwise(0)).alias("_used"))
     left = left.select(F.col("source").alias("_source"), (F.col("_room") - F.col("_used")).alias("_gap"))
     spare = rows.where(~F.col("_fits") & (F.col("size") > 0)).join(small(left), _same(F.col("source"), F.col("_source")))
-    spare = spare.where(F.col("size") <= F.col("_gap")).groupBy("source").agg(F.max(F.struct("size", "_draw", "doc_id", "copy")).alias("_pick"))
-    spare = spare.select(F.col("source").alias("_source"), "_pick")
-    rows = rows.join(small(spare), _same(F.col("source"), F.col("_source")), "left")
-    picked = F.coalesce(_same(F.col("_pick.doc_id"), F.col("doc_id")) & (F.col("_pick.copy") == F.col("copy")) & (F.col("_pick._draw") == F.col("_draw")) & F.col("_pick").isNotNull(), F.lit(False))
-    rows = rows.withColumn("_extra", F.col("_fits") | picked)
+    spare = spare.where(F.col("size") <= F.col("_gap")).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.first("_gap").alias("_gap"))
+    spare = spare.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("_sizes"), F.first("_gap").alias("_gap"))
+    picks = F.aggregate("_sizes", F.struct(F.col("_gap").alias("left"), F.array().cast("array<struct<size:bigint,n:bigint>>").alias("picks")), _with_size)
+    spare = spare.select(F.col("source").alias("_source"), F.explode(picks["picks"]).alias("_pick")).select("_source", F.col("_pick.size").alias("_size"), F.col("_pick.n").alias("_n"))
+    spare = write_table(spare, "mix-picks", small=True)
+    rows = rows.join(small(spare), _same(F.col("source"), F.col("_source")) & (F.col("size") == F.col("_size")), "left").drop("_source", "_size")
+    chosen = ~F.col("_fits") & F.col("_n").isNotNull()
+    of_size = Window.partitionBy("source", "size").orderBy("_draw", "doc_id", "copy")
+    picked = rows.where(chosen).withColumn("_extra", F.row_number().over(of_size) <= F.col("_n"))
+    rows = rows.where(~chosen).withColumn("_extra", F.col("_fits")).unionByName(picked)
 
     # Epochs of a document: the whole ones, and one more if it is in the fraction.
     n = F.col("epochs") + F.when(F.col("_extra"), 1).otherwise(0)

@@ -408,6 +408,21 @@ def test_mixing(spark):
     assert sorted(map(str, again)) == sorted(map(str, found))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_goes_on_past_a_long_document(spark, seed):
+    rng = random.Random(seed)
+    sizes = [(i, 0, source, rng.randint(1, 40)) for source in "abc" for i in range(60)] + [(60, 0, source, 3000) for source in "abc"]
+    found = mixing.mix(table(spark, sizes, "doc_id long, copy long, source string, size long"), blocks=12, seed=seed).collect()
+    assert {(r["doc_id"], r["source"]) for r in found} == {(i, source) for i, _, source, _ in sizes}
+    for source in "abc":
+        own = [r for r in found if r["source"] == source]
+        epochs = {i: sum(r["doc_id"] == i and r["epoch"] is not None for r in own) for i in range(61)}
+        taken, target = sum(r["size"] for r in own if r["epoch"] is not None), own[0]["target"]
+        spare = [size for i, _, s, size in sizes if s == source and epochs[i] == min(epochs.values())]
+        assert max(epochs.values()) - min(epochs.values()) <= 1 and max(epochs.values()) <= 3
+        assert taken <= target + 1e-6 and all(size > target - taken for size in spare)
+
+
 def test_quotas_are_exact_and_even(spark):
     blocks = table(spark, [(f"s{k % 3}" if k % 7 else None, 1, k) for k in range(500)], "source string, epoch int, block long")
     rows = mixing.split_quotas(blocks, 16).collect()
