@@ -64,13 +64,63 @@ def submission_conflicts(log: DataFrame) -> DataFrame:
 # ---- Structure ----
 
 
+def last_targets(merges: list[tuple]) -> list[tuple]:
+    """Merged id, the block that holds it in the end and its place there, from pairs (from_id, into_id) in order.
+
+    A block that was merged away is not merged again, and none is merged into itself or what it holds.
+    """
+    held: dict = {}
+    up: dict = {}
+    for source, into in merges:
+        root, path = into, []
+        while root in up:
+            path.append(root)
+            root = up[root]
+        up.update(dict.fromkeys(path, root))
+        if source not in up and root != source:
+            up[source] = root
+            held.setdefault(root, []).append(source)
+    out = []
+    for root in held:
+        todo, at = held[root][::-1] if root not in up else [], 0
+        while todo:
+            source = todo.pop()
+            out.append((source, root, at))
+            at += 1
+            todo += held.get(source, [])[::-1]
+    return out
+
+
+def _last_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, pairs = None, []
+
+    def found() -> pa.RecordBatch:
+        rows = [(now, *row) for row in last_targets(pairs)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "block_id", "_into", "_merge"])
+
+    for batch in batches:
+        types = [*batch.schema.types, pa.int64()]
+        for doc, *pair in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if doc != now:
+                if pairs:
+                    yield found()
+                now, pairs = doc, []
+            pairs.append(tuple(pair))
+    if pairs:
+        yield found()
+
+
 def merge_blocks(blocks: DataFrame, merges: DataFrame) -> DataFrame:
-    """Blocks (doc_id, block_id, ord, source_ids, text) after merges (doc_id, from_id, into_id).
+    """Blocks (doc_id, block_id, ord, source_ids, text) after merges (doc_id, from_id, into_id, ord), one after the other.
 
     The sources of merged blocks follow the target's own, in order of the merges' ord; the merged blocks go.
-    Chains are followed to their last target.
+    Chains are followed to their last target; a block brings what was merged into it. One document's merges are held at a time.
     """
-    gone = merges.select("doc_id", F.col("from_id").alias("block_id"), F.col("into_id").alias("_into"), F.col("ord").alias("_merge"))
+    own = blocks.select(F.col("doc_id").alias("_doc"), F.col("block_id").alias("_block"), F.col("ord").alias("_own"))
+    asked = merges.join(own, (F.col("doc_id") == F.col("_doc")) & (F.col("from_id") == F.col("_block")))
+    dealt = asked.repartition("doc_id").sortWithinPartitions("doc_id", "ord", "_own", "from_id", "into_id").select("doc_id", "from_id", "into_id")
+    kinds = [f.dataType.simpleString() for f in dealt.schema]
+    gone = dealt.mapInArrow(_last_targets, ", ".join(f"{c} {t}" for c, t in zip(("doc_id", "block_id", "_into", "_merge"), [*kinds, "long"], strict=True)))
     moved = blocks.join(gone, ["doc_id", "block_id"], "left")
     placed = moved.select("doc_id", F.coalesce("_into", "block_id").alias("block_id"), F.struct(F.coalesce("_merge", F.lit(-1)).alias("at"), F.col("ord"), F.col("source_ids"), F.col("text")).alias("part"))
     grown = placed.groupBy("doc_id", "block_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
