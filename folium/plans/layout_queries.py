@@ -72,8 +72,8 @@ def layout_coverage(spark, sf):
 
 
 def layout_cross_page(spark, sf):
-    items = _prose(spark, sf).where(F.col("ord") % 3 == 0)
-    return layout.cross_page(items.select("doc_id", "ord", "page", "text")).where("flag is not null").select("doc_id", F.col("ord").cast("long").alias("ord"), "flag")
+    """Every line with the line that follows it."""
+    return layout.cross_page(_prose(spark, sf).select("doc_id", "ord", "page", "text")).where("flag is not null").select("doc_id", F.col("ord").cast("long").alias("ord"), "flag")
 
 
 def crop_containment(spark, sf):
