@@ -1,5 +1,7 @@
 """Registered queries over whole tables, where a cut would show."""
 
+import duckdb
+
 from folium.plans import catalogue
 
 
@@ -8,3 +10,11 @@ def test_cross_page_neighbours(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = catalogue.queries()["layout_cross_page"](spark, str(tmp_path)).collect()
     assert {(r["ord"], r["flag"]) for r in found} == {(39, "possible_cross_page"), (79, "possible_cross_page")}
+
+
+def test_coverage_uses_all_line_items(spark):
+    data = "/root/testdata/sf0.001"
+    found = {r["status"]: r for r in catalogue.queries()["ledger_coverage"](spark, data).collect()}
+    counts = duckdb.connect().execute(f"SELECT count(*) FROM '{data}/lineitem.parquet' GROUP BY l_orderkey").fetchall()
+    assert sum(r["n_used"] for r in found.values()) == sum(n for (n,) in counts)
+    assert found["duplicate"]["n_keys"] == sum(n > 1 for (n,) in counts) and found["ok"]["n_keys"] == sum(n == 1 for (n,) in counts)
