@@ -18,3 +18,10 @@ def test_coverage_uses_all_line_items(spark):
     counts = duckdb.connect().execute(f"SELECT count(*) FROM '{data}/lineitem.parquet' GROUP BY l_orderkey").fetchall()
     assert sum(r["n_used"] for r in found.values()) == sum(n for (n,) in counts)
     assert found["duplicate"]["n_keys"] == sum(n > 1 for (n,) in counts) and found["ok"]["n_keys"] == sum(n == 1 for (n,) in counts)
+
+
+def test_evidence_anywhere_in_the_text(spark, tmp_path):
+    rows = [(1, "Plain words that say what was done here\nsee a00012"), (2, "short\nbut the second line says quite enough of it"), (3, "Plain words that say what was done here\nand go on")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: (r["weak"], r["evidence"], r["verdict"]) for r in catalogue.queries()["evidence_screen"](spark, str(tmp_path)).collect()}
+    assert found == {1: (False, True, "ok"), 2: (False, False, "no evidence"), 3: (False, False, "no evidence")}
