@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm import hashing
@@ -90,7 +90,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens in shingle_sets(batch.column("text")):
             sizes.append(len(tokens))
             classes.append(class_of(tokens))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["doc_id", "n", "cid"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["doc_id", "copy", "n", "cid"])
 
 
 def _pack(sets: list[np.ndarray], ids: list[int], labels: list[int], buckets: int) -> pa.RecordBatch:
@@ -334,9 +334,15 @@ def _group_components(sets: DataFrame, groups: DataFrame) -> DataFrame | None:
     return connected_components(edges.union(more).distinct())
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), cid (class) and component_id for every row of docs."""
-    rows = write_table(lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_classes, "doc_id long, n long, cid long"), "jaccard-classes")
+def _copy() -> Column:
+    """A checksum of the text, which tells rows with one doc_id apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(text, F.length(text))
+
+
+def _in_components(docs: DataFrame) -> DataFrame:
+    """doc_id, copy, n (size of the set), cid (class), component_id and label for every row of docs; the label is null where a row is alone."""
+    rows = write_table(lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _copy().alias("copy"), "text").mapInArrow(_classes, "doc_id long, copy long, n long, cid long"), "jaccard-classes")
     sets = _surviving_sets(docs, rows)
     groups = _groups(sets)
     merged = _group_components(sets, groups)
@@ -344,18 +350,37 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     if merged is not None:
         labels = labels.join(merged, F.col("label") == F.col("node"), "left").select("_cid", F.coalesce("component", "label").alias("label"))
     labels = write_table(labels, "jaccard-labels", small=True)
-    found = rows.join(labels, (F.col("cid") == F.col("_cid")) & (F.col("n") > 0), "left").select("doc_id", "n", "cid", F.coalesce("label", "cid").alias("label"))
+    found = rows.join(labels, (F.col("cid") == F.col("_cid")) & (F.col("n") > 0), "left").select("doc_id", "copy", "n", "cid", F.coalesce("label", "cid").alias("label"))
     found = write_table(found, "jaccard-labelled")
     least = write_table(found.where("n > 0").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_label", "least"), "jaccard-least", small=True)
     out = found.join(least, (F.col("label") == F.col("_label")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", "n", "cid", F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", "copy", "n", "cid", F.coalesce("least", "doc_id").alias("component_id"), F.col("_label").alias("label"))
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n (size of the set), cid (class) and component_id for every row of docs."""
+    return _in_components(docs).select("doc_id", "n", "cid", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but the smallest doc_id of every component; rows that share that doc_id stay together."""
-    found = similar_documents(docs.select("doc_id", "text"))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows without all but one of every component, one of the smallest doc_id; ids may repeat or be null."""
+    found = _in_components(docs.select("doc_id", "text")).where("label is not null")
+    rows = found.groupBy("label", "doc_id", "copy").agg(F.count(F.lit(1)).alias("_n"))
+    first = rows.groupBy(F.col("label").alias("_label")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "copy")).alias("_first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("copy") == F.col("_first.copy"))
+    rows = rows.join(first, F.col("label") == F.col("_label")).withColumn("_kept", kept).where(~F.col("_kept") | (F.col("_n") > 1))
+    rows = write_table(rows.select(F.col("doc_id").alias("_jaccard_id"), F.col("copy").alias("_jaccard_copy"), "_kept"), "jaccard-repeated", small=True)
+    names = docs.columns
+    own = docs.withColumn("_jaccard_own", _copy())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_jaccard_id")) & (F.col("_jaccard_own") == F.col("_jaccard_copy"))
+    left = own.join(rows.where(~F.col("_kept")).drop("_kept"), same, "left_anti")
+    equal = rows.where("_kept").drop("_kept")
+    if equal.isEmpty():
+        return left.select(*names)
+    # Equal rows with one id: the first of them stays.
+    order = Window.partitionBy("doc_id", "_jaccard_own").orderBy(F.to_json(F.struct(*names)))
+    one = left.join(equal, same, "left_semi").withColumn("_jaccard_row", F.row_number().over(order)).where("_jaccard_row = 1")
+    return left.join(equal, same, "left_anti").select(*names).unionByName(one.select(*names))
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -286,6 +286,15 @@ def test_repeated_and_null_ids(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows) == [("7", "7"), ("7", "7"), ("9", "7"), ("None", "7"), ("None", "None")]
 
 
+def test_one_of_each_decides_by_row(spark):
+    copied, lone, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    rows = [(1, copied, "en", "a", 0), (2, copied, "en", "a", 0), (2, lone, "en", "a", 0), (3, lone + " end", "en", "a", 0), (3, lone + " end", "en", "b", 0), (None, other, "en", "a", 0), (None, other, "en", "a", 0), (None, other + " end", "en", "a", 0), (None, None, "en", "a", 0), (None, None, "en", "a", 0), (4, "alone", "en", "a", 0)]
+    found = jaccard_join.keep_one_of_each(table(spark, rows)).collect()
+    assert [r["text"] for r in found].count(None) == 2 and (4, "alone") in [(r["doc_id"], r["text"]) for r in found]
+    assert {(r["doc_id"], r["text"]) for r in found if r["doc_id"] in (1, 2, 3)} == {(1, copied), (2, lone)}
+    assert len(found) == 6 and sum((r["text"] or "").startswith("z") for r in found) == 1
+
+
 # ---- 7 WARC ----
 
 
