@@ -159,12 +159,16 @@ def _sharer(parts: int):
         label_of = np.zeros(len(ids), dtype=np.int64)
         label_of[number] = np.unique(_joined(block, "labels", np.int64), return_inverse=True)[1]
         pairs = np.sort((_joined(block, "tokens", np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(number.astype(np.uint64), runs))
-        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+        at = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        times, pairs = np.diff(np.concatenate([at, [len(pairs)]])), pairs[at]
         token, own = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         label = label_of[own]
         mixed = np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)
-        counts = np.bincount(own[np.repeat(mixed, np.diff(np.concatenate([head, [len(token)]])))], minlength=len(ids))
+        mixed = np.repeat(mixed, np.diff(np.concatenate([head, [len(token)]])))
+        # A set comes in a run from each task that met it; what is left of a pair's times are its tokens that agree in the bits kept.
+        tokens = times // np.bincount(number, minlength=len(ids))[own]
+        counts = np.bincount(own[mixed], weights=tokens[mixed], minlength=len(ids)).astype(np.int64)
         some = np.flatnonzero(counts)
         part = (ids[some].view(np.uint64) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")

@@ -286,6 +286,13 @@ def test_repeated_and_null_ids(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows) == [("7", "7"), ("7", "7"), ("9", "7"), ("None", "7"), ("None", "None")]
 
 
+def test_shared_counts_are_never_too_low():
+    own = np.array([5, 5 + (1 << 32), 7], dtype=np.uint64)
+    packed = [jaccard_join._pack([own, np.append(own, np.uint64(9))], [1, 2], [1, 2], 1), jaccard_join._pack([own], [1], [1], 1)]
+    found = jaccard_join._totals(jaccard_join._sharer(1)(pa.Table.from_batches(packed))).to_pydict()
+    assert found == {"cid": [1, 2], "shared": [3, 3]}
+
+
 def test_one_of_each_decides_by_row(spark):
     copied, lone, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
     rows = [(1, copied, "en", "a", 0), (2, copied, "en", "a", 0), (2, lone, "en", "a", 0), (3, lone + " end", "en", "a", 0), (3, lone + " end", "en", "b", 0), (None, other, "en", "a", 0), (None, other, "en", "a", 0), (None, other + " end", "en", "a", 0), (None, None, "en", "a", 0), (None, None, "en", "a", 0), (4, "alone", "en", "a", 0)]
