@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.functions import codepoints as C
 from folium.functions import spans as S
 
 
@@ -27,40 +29,32 @@ def _per_text(rows: DataFrame, find, schema: str, names: list[str], types: list[
 _SPANS = "array<struct<s:int,e:int>>"
 
 
-def _span_lists(found: list[list[tuple[int, int]]]) -> pa.ListArray:
-    flat = [x for row in found for span in row for x in span]
-    offsets = [0]
-    for row in found:
-        offsets.append(offsets[-1] + len(row))
-    ends = [pa.array(flat[k::2], pa.int32()) for k in (0, 1)]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(ends, names=["s", "e"]))
-
-
 def token_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, spans: the words of each text as one sorted array of spans."""
 
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[m.span() for m in re.finditer(r"\S+", t or "")] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), _span_lists(found)], names=["doc_id", "text", "spans"])
+            for low, high, offsets, solid in C.slabs(batch.column("text")):
+                starts, ends, counts = C.words(offsets, solid)
+                flat = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (starts, ends)], names=["s", "e"])
+                spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(low, high - low) for c in ("doc_id", "text")] + [spans], names=["doc_id", "text", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(generate, f"doc_id long, text string, spans {_SPANS}")
 
 
 def cover_faults(spanned: DataFrame) -> DataFrame:
-    """doc_id, spans, fault: cover_error of each text, in time proportional to its length however many spans there are."""
+    """doc_id, spans, fault: cover_error of each text, by a few passes over all code points and spans of a slab."""
 
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("spans")
-            flat = spans.flatten()
-            starts, ends = (flat.field(name).to_pylist() for name in ("s", "e"))
-            bounds = [0, *[0 if n is None else n for n in spans.value_lengths().to_pylist()]]
-            faults, at = [], 0
-            for text, n in zip(batch.column("text").to_pylist(), bounds[1:], strict=True):
-                faults.append(S.first_fault(text or "", list(zip(starts[at : at + n], ends[at : at + n], strict=True))))
-                at += n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), spans, pa.array(faults, pa.string())], names=["doc_id", "spans", "fault"])
+            for low, high, offsets, solid in C.slabs(batch.column("text")):
+                spans = batch.column("spans").slice(low, high - low)
+                counts = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+                flat = spans.flatten()
+                row = np.repeat(np.arange(high - low), counts)
+                found = C.first_faults(offsets, solid, row, *(flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "e")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), spans, pa.array(C.FAULTS[found].tolist(), pa.string())], names=["doc_id", "spans", "fault"])
 
     return spanned.select("doc_id", "text", "spans").mapInArrow(generate, f"doc_id long, spans {_SPANS}, fault string")
 
@@ -70,16 +64,30 @@ def occurrences(docs: DataFrame, needle: str) -> DataFrame:
     return _per_text(docs, lambda t: [(n, p, p + len(needle)) for n, p in enumerate(S.positions(t, needle), 1)], "doc_id long, n int, start int, end int", ["n", "start", "end"], [pa.int32()] * 3)
 
 
-def contained(inner: DataFrame, outer: DataFrame, key: str = "doc_id") -> DataFrame:
-    """inner rows joined with the outer rows (start, end renamed outer_*) that hold them, within a key."""
+def _pieces(start: Column, end: Column, width: int) -> Column:
+    """Numbers of the pieces of a text that an interval touches; an empty interval is in the piece of its place."""
+    first = F.floor(start / width).cast("long")
+    return F.sequence(first, F.greatest(first, F.floor((end - 1) / width).cast("long")))
+
+
+def contained(inner: DataFrame, outer: DataFrame, key: str = "doc_id", width: int = 512) -> DataFrame:
+    """inner rows joined with the outer rows (start, end renamed outer_*) that hold them, within a key.
+
+    A text is cut into pieces of `width`; an inner row meets only what touches the piece that it begins in, so a very long
+    text is many keys of a join, not one.
+    """
     wide = outer.select(F.col(key), *[F.col(c).alias(f"outer_{c}") for c in outer.columns if c != key])
-    both = inner.join(wide, key)
-    return both.where((F.col("outer_start") <= F.col("start")) & (F.col("end") <= F.col("outer_end")))
+    wide = wide.withColumn("_piece", F.explode(_pieces(F.col("outer_start"), F.col("outer_end"), width)))
+    both = inner.withColumn("_piece", F.floor(F.col("start") / width).cast("long")).join(wide, [key, "_piece"])
+    return both.where((F.col("outer_start") <= F.col("start")) & (F.col("end") <= F.col("outer_end"))).drop("_piece")
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Pairs of rows of a and b (a_start, a_end; b_start, b_end) that overlap, within a key."""
-    return a.join(b, key).where(S.overlaps(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")))
+def overlapping(a: DataFrame, b: DataFrame, key: str, width: int = 512) -> DataFrame:
+    """Pairs of rows of a and b (a_start, a_end; b_start, b_end) that overlap, within a key; each pair meets in the piece where the overlap begins."""
+    left = a.withColumn("_piece", F.explode(_pieces(F.col("a_start"), F.col("a_end"), width)))
+    right = b.withColumn("_piece", F.explode(_pieces(F.col("b_start"), F.col("b_end"), width)))
+    first = F.floor(F.greatest("a_start", "b_start") / width).cast("long")
+    return left.join(right, [key, "_piece"]).where(S.overlaps(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")) & (F.col("_piece") == first)).drop("_piece")
 
 
 def violations(spans: DataFrame, key: str, limit: Column) -> DataFrame:
