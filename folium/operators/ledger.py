@@ -57,6 +57,21 @@ def page(total: Column, offset: Column, limit: int) -> tuple[Column, Column, Col
     return first, last, (first > 0) | (last < total)
 
 
+def numbered(rows: DataFrame, key: str, number: str, width: int = 1 << 16) -> DataFrame:
+    """rows with `ord`, from 1 in order of a whole number within a key.
+
+    Ranges of `width` numbers are counted, and a row's place in its range is added to the counts of the ranges before, so
+    a key that holds a third of all rows is sorted in as many tasks as it has ranges. Rows of one number are in any order.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(number) / width).cast("long"))
+    counts = ranged.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_key", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_range").orderBy(number)))
+    both = placed.join(counts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_range").eqNullSafe(F.col("_of")))
+    return both.withColumn("ord", (F.col("_before") + F.col("_at")).cast("long")).drop("_range", "_key", "_of", "_before", "_at")
+
+
 def neighbours(blocks: DataFrame, chosen: DataFrame, key: str, reach: int = 1) -> DataFrame:
     """The blocks up to `reach` places from a chosen one, each once, and whether it is chosen itself."""
     near = chosen.select(key, F.explode(F.sequence(F.col("ord") - reach, F.col("ord") + reach)).alias("ord"), F.col("ord").alias("_of"))

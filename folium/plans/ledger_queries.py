@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folium.functions import digests
 from folium.functions import text as X
-from folium.operators import ledger
+from folium.operators import ledger, views
 from folium.sources.plain import atoms
 
 
@@ -47,22 +47,35 @@ def ledger_coverage(spark, sf):
     return ledger.coverage(expected, used, ["key"]).groupBy("status").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n_used").alias("n_used"))
 
 
+def _blocks(spark, sf):
+    lines = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    return lines.withColumn("kind", F.when(X.n_words(F.col("text")) <= 2, "heading").otherwise("paragraph")).withColumn("block_id", F.format_string("b%05d", F.col("ord") + 1)).withColumn("target", F.lit(None).cast("string"))
+
+
 def search_blocks(spark, sf):
-    lines = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    return lines.where(F.lower("line").contains("ther")).select("doc_id", F.col("ord").cast("long").alias("ord"), F.length("line").cast("long").alias("n_chars"))
+    found = views.search(_blocks(spark, sf), "THER")
+    return found.select("doc_id", F.col("ord").cast("long").alias("ord"), F.length("text").cast("long").alias("n_chars"))
 
 
 def outline(spark, sf):
-    lines = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    return lines.where(X.n_words(F.col("line")) <= 2).select("doc_id", F.col("ord").cast("long").alias("ord"), F.substring("line", 1, 160).alias("heading"), X.heading_level(F.col("line")).cast("long").alias("level"))
+    """Lines of up to two words are headings."""
+    found = views.outline(_blocks(spark, sf))
+    return found.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("text").alias("heading"), F.col("level").cast("long").alias("level"))
+
+
+def block_summaries(spark, sf):
+    """Lines are blocks with a note in every second, and as many sources as their number's remainder by three says."""
+    blocks = _blocks(spark, sf).withColumn("structure_note", F.when(F.col("ord") % 2 == 0, "kept")).withColumn("source_ids", F.slice(F.array(F.lit("a"), F.lit("b")), 1, F.col("ord") % 3))
+    return views.summary(blocks).select("doc_id", "block_id", "kind", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "has_structure_note", F.col("source_count").cast("long").alias("source_count"))
 
 
 def stage_and_pending(spark, sf):
     """Stand-in: an order is a document, its line items are blocks; O lines are untranslated, F lines of tax over 0.04 unreviewed."""
-    items = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count(F.when(F.col("l_linestatus") == "O", 1)).alias("pending_translate"), F.count(F.when((F.col("l_linestatus") == "F") & (F.col("l_tax") > 0.04), 1)).alias("pending_review"))
+    blocks = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("paragraph").alias("kind"), F.when(F.col("l_linestatus") != "O", "x").alias("target"), F.when((F.col("l_linestatus") != "F") | (F.col("l_tax") <= 0.04), "h").alias("reviewed_hash"))
+    pending = views.progress(blocks, F.lit("h")).select("doc_id", "pending_translate", "pending_review")
     orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderpriority")
-    both = orders.join(items, "doc_id", "left").na.fill(0, ["pending_translate", "pending_review"])
-    stage = F.when(F.col("o_orderpriority") == "1-URGENT", "structure").when(F.col("o_orderpriority") == "2-HIGH", "terms").when(F.col("pending_translate") > 0, "translate").when(F.col("pending_review") > 0, "review").otherwise("full_review")
+    both = orders.join(pending, "doc_id", "left").na.fill(0, ["pending_translate", "pending_review"])
+    stage = views.stage(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority") != "2-HIGH", F.col("pending_translate"), F.col("pending_review"), F.lit(1))
     return both.select("doc_id", stage.alias("stage"), "pending_translate", "pending_review")
 
 
@@ -73,8 +86,7 @@ def task_batch(spark, sf):
 
 def _ordered_docs(spark, sf):
     """Stand-in: a source is a document and its rows, in order of id, are blocks."""
-    docs = _t(spark, sf, "documents").select("source", "doc_id")
-    return docs.withColumn("ord", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return ledger.numbered(_t(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
 
 
 def task_neighbors(spark, sf):
@@ -98,16 +110,19 @@ def section_paging(spark, sf):
 
 
 def doc_fingerprint(spark, sf):
-    lines = F.split("text", "\n")
-    joined = F.array_join(F.transform(lines, lambda x: F.sha2(x.cast("binary"), 256)), "")
-    return _t(spark, sf, "documents").select("doc_id", F.sha2(joined.cast("binary"), 256).alias("fingerprint"))
+    """Lines are blocks, benchmark items of a document's number modulo fifty its terms; nothing else of a document is reviewed."""
+    blocks = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    blocks = blocks.select("doc_id", "ord", F.format_string("b%05d", F.col("ord") + 1).alias("block_id"), F.lit("paragraph").alias("kind"), F.sha2(F.col("line").cast("binary"), 256).alias("text"))
+    terms = _t(spark, sf, "documents").select("doc_id").join(_t(spark, sf, "benchmark").where("item_id < 50"), F.col("doc_id") % 50 == F.col("item_id")).select("doc_id", F.format_string("t%03d", "item_id").alias("term_id"))
+    issues = blocks.where("false").select("doc_id", F.col("block_id").alias("issue_id"))
+    return digests.fingerprints(blocks, terms, issues)
 
 
 _LINES = "SELECT doc_id, i - 1 AS ord, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"
 _COLLAPSE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _WORDS = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, ' ')) END".format(_COLLAPSE.format("line"))
 
-QUERIES = {f.__name__: f for f in (doc_content_id, doc_reimport_dedup, atom_lines, atom_paragraphs, block_kinds, ledger_partition_check, ledger_coverage, search_blocks, outline, stage_and_pending, task_batch, task_neighbors, section_window, section_paging, doc_fingerprint)}
+QUERIES = {f.__name__: f for f in (doc_content_id, doc_reimport_dedup, atom_lines, atom_paragraphs, block_kinds, ledger_partition_check, ledger_coverage, search_blocks, outline, block_summaries, stage_and_pending, task_batch, task_neighbors, section_window, section_paging, doc_fingerprint)}
 
 ORACLES = {
     "doc_content_id": "SELECT doc_id, substr(sha256(text), 1, 24) AS content_id, length(text)::BIGINT AS n_chars FROM documents",
@@ -134,7 +149,7 @@ SELECT doc_id, CASE
 FROM l GROUP BY 1, 2""",
     "ledger_partition_check": f"SELECT doc_id, count(*)::BIGINT AS n_atoms, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra, 0::BIGINT AS n_duplicate, true AS ok FROM ({_LINES}) WHERE trim(line) <> '' GROUP BY doc_id",
     "ledger_coverage": """
-WITH u AS (SELECT l_orderkey AS key, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), b AS (
+WITH u AS (SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY 1), b AS (
   SELECT coalesce(n, 0) AS n, o_orderkey IS NOT NULL AS expected FROM (SELECT DISTINCT o_orderkey FROM orders) o FULL OUTER JOIN u ON o_orderkey = key
 )
 SELECT CASE WHEN n = 0 THEN 'missing' WHEN NOT expected THEN 'extra' WHEN n > 1 THEN 'duplicate' ELSE 'ok' END AS status, count(*)::BIGINT AS n_keys, sum(n)::BIGINT AS n_used FROM b GROUP BY 1""",
@@ -159,5 +174,10 @@ SELECT doc_id, ord::BIGINT AS ord, (last_value(h IGNORE NULLS) OVER (PARTITION B
     "section_paging": """
 WITH t AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents), f AS (SELECT *, greatest(0, least(doc_id % 40, n - 1)) AS a FROM t)
 SELECT doc_id, a::BIGINT AS first_at, least(n, a + 24)::BIGINT AS end_at, a > 0 OR least(n, a + 24) < n AS truncated FROM f""",
-    "doc_fingerprint": f"SELECT doc_id, sha256(string_agg(sha256(line), '' ORDER BY ord)) AS fingerprint FROM ({_LINES}) GROUP BY doc_id",
+    "block_summaries": f"""
+SELECT doc_id, printf('b%05d', ord + 1) AS block_id, CASE WHEN {_WORDS} <= 2 THEN 'heading' ELSE 'paragraph' END AS kind, sha256(substr(line, 1, 160)) AS text_sha256, ord % 2 = 0 AS has_structure_note, (ord % 3)::BIGINT AS source_count FROM ({_LINES})""",
+    "doc_fingerprint": f"""
+WITH p AS (SELECT doc_id, 0 AS part, ord, sha256('{{"block_id":"' || printf('b%05d', ord + 1) || '","kind":"paragraph","text":"' || sha256(line) || '"}}') AS h FROM ({_LINES})
+  UNION ALL SELECT doc_id, 1, item_id, sha256('{{"term_id":"' || printf('t%03d', item_id) || '"}}') FROM documents JOIN benchmark ON item_id < 50 AND doc_id % 50 = item_id)
+SELECT doc_id, sha256(string_agg(h, '' ORDER BY part, ord)) AS fingerprint FROM p GROUP BY doc_id""",
 }
