@@ -169,9 +169,21 @@ def asset_conflicts(inherited: DataFrame) -> DataFrame:
 # ---- Translations, reviews, notes, terms ----
 
 
+def one_for_each_block(submitted: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each block: the last by `seq` if there is such a column, else the greatest; so no submission doubles a block."""
+    order = [F.col(c) for c in (["seq"] if "seq" in submitted.columns else []) + columns]
+    last = submitted.groupBy("doc_id", "block_id").agg(F.max(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in columns])).alias("_last"))
+    return last.select("doc_id", "block_id", *[F.col(f"_last._{c}").alias(f"_{c}") for c in columns])
+
+
+def repeated_submissions(submitted: DataFrame) -> DataFrame:
+    """doc_id, block_id of blocks that a submission holds more than once: such a submission is refused."""
+    return submitted.groupBy("doc_id", "block_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "block_id")
+
+
 def translate(blocks: DataFrame, submitted: DataFrame) -> DataFrame:
     """Blocks with submitted translations where the user has not edited them: the old one goes to the history, the review falls."""
-    new = submitted.select("doc_id", "block_id", F.col("target").alias("_new"))
+    new = one_for_each_block(submitted, ["target"]).withColumnRenamed("_target", "_new")
     both = blocks.join(new, ["doc_id", "block_id"], "left")
     applies = F.col("_new").isNotNull() & ~F.coalesce("user_edited", F.lit(False))
     history = F.when(applies & F.col("target").isNotNull(), F.concat("history", F.array("target"))).otherwise(F.col("history"))
@@ -180,7 +192,7 @@ def translate(blocks: DataFrame, submitted: DataFrame) -> DataFrame:
 
 def review(blocks: DataFrame, submitted: DataFrame) -> DataFrame:
     """Blocks reviewed where the submitted hash is that of the translation as it is now and the note is not blank."""
-    new = submitted.select("doc_id", "block_id", F.col("hash").alias("_hash"), F.col("note").alias("_note"))
+    new = one_for_each_block(submitted, ["hash", "note"])
     both = blocks.join(new, ["doc_id", "block_id"], "left")
     current = F.sha2(F.col("target").cast("binary"), 256)
     good = F.coalesce((F.col("_hash") == current) & (X.strip(F.col("_note")) != ""), F.lit(False))
