@@ -67,10 +67,12 @@ def import_files(spark: SparkSession, folder: str, known: DataFrame | None = Non
 
 
 def import_rows(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    first = files.withColumn("_id", content_id(F.col("content")))
+    """Rows of the files whose bytes are not known; of files with equal bytes the one of the least path is imported."""
+    first = files.select(content_id(F.col("content")).alias("_id"), F.struct("path", "content").alias("_file"))
     if known is not None:
         first = first.join(known.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_anti")
-    return first.select("path", "content").mapInArrow(_import, ROWS)
+    one = first.groupBy("_id").agg(F.min("_file").alias("_file"))
+    return one.select("_file.path", "_file.content").mapInArrow(_import, ROWS)
 
 
 def fragments_of(imported: DataFrame) -> DataFrame:

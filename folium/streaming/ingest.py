@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.operators.ledger import content_id
 from folium.sources.files import import_rows, supported
 
 
@@ -14,20 +15,19 @@ def landing_files(spark: SparkSession, folder: str) -> DataFrame:
     return supported(spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder))
 
 
-def import_stream(spark: SparkSession, folder: str, out: str, checkpoint: str):
-    """Imports files as they arrive; each micro-batch leaves out the documents that are there already, so a replay adds nothing."""
+def import_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, known: DataFrame | None = None):
+    """Imports files as they arrive, each content once.
 
-    def land(batch: DataFrame, _: int) -> None:
-        try:
-            known = spark.read.parquet(out).select("doc_id")
-            known.schema  # noqa: B018
-        except Exception as error:  # the first batch has no table to look into
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = None
-        import_rows(batch.select("path", "content").dropDuplicates(["content"]), known).write.mode("append").parquet(out)
+    The ids that were seen are the stream's state, so a batch costs what it holds, not what came before it. A micro-batch is
+    written under its own number and replaces what an earlier attempt wrote there, so a replay adds nothing.
+    known: doc_id of documents that were imported by other means.
+    """
+    once = landing_files(spark, folder).select("path", "content", content_id(F.col("content")).alias("_id")).dropDuplicates(["_id"])
 
-    return landing_files(spark, folder).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def land(batch: DataFrame, number: int) -> None:
+        import_rows(batch.select("path", "content"), known).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return once.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_windows(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
