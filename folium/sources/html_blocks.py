@@ -89,34 +89,33 @@ def _strings(node: Element) -> Iterator[str]:
             todo += reversed(now.children)
 
 
-def inline_text(node: Element) -> str:
-    """Text of an element with line ends where blocks begin and end."""
-    out: list[str] = []
+#: Stand in a stream of text for the edge of a block, and for an element that gave no text; noncharacters, so no page holds them.
+_EDGE, _NOTHING = "\ufdd0", "\ufdd1"
+_LINE_END = re.compile(f"(?<=[^\\s{_EDGE}{_NOTHING}]){_EDGE}+")
 
-    def edge() -> None:
-        if out and out[-1] and not out[-1][-1].isspace():
-            out.append("\n")
 
-    todo: list = [node]
+def _stream(node: Element) -> Iterator[str]:
+    """The text of an element in order, with marks at the edges of the blocks in it."""
+    todo: list[Element | str] = list(reversed(node.children))
     while todo:
         now = todo.pop()
         if isinstance(now, str):
-            out.append(now)
-        elif callable(now):
-            now()
+            yield now or _NOTHING
         elif now.tag == "br":
-            out.append("\n")
+            yield "\n"
         elif now.tag == "math":
-            out.append(formula_text(now))
-        elif now.tag in ("sup", "sub") and now is not node:
+            yield formula_text(now) or _NOTHING
+        elif now.tag in ("sup", "sub"):
             inner = inline_text(now)
-            out.append(script(inner, now.tag == "sup") or inner)
+            yield script(inner, now.tag == "sup") or inner or _NOTHING
         elif now.tag not in NOT_TEXT and now.tag != "img":
-            if now.tag in BOUNDARIES and now is not node:
-                edge()
-                todo.append(edge)
-            todo += reversed(now.children)
-    return "".join(out)
+            sides = [_EDGE] if now.tag in BOUNDARIES else []
+            todo += [*sides, *reversed(now.children), *sides]
+
+
+def inline_text(node: Element) -> str:
+    """Text of an element with line ends where blocks begin and end: at the edges of blocks that stand behind a letter or sign."""
+    return _LINE_END.sub("\n", "".join(_stream(node))).replace(_EDGE, "").replace(_NOTHING, "")
 
 
 def collapse(text: str) -> str:
