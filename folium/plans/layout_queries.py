@@ -31,7 +31,12 @@ def layout_body_height(spark, sf):
 
 
 def layout_margins(spark, sf):
-    found = layout.mark_margins(_prose(spark, sf))
+    """Pages of four lines: the first line of a page is a running head near its top, the last its number near its foot."""
+    lines = boxes(spark, sf).withColumn("page", (F.floor(F.col("ord") / 4) + 1).cast("int"))
+    head, foot = F.col("ord") % 4 == 0, F.col("ord") % 4 == 3
+    text = F.when(head, F.concat(F.lit("Running  head "), F.col("doc_id").cast("string"))).when(foot, (F.col("page") % 2000).cast("string")).otherwise(F.col("text"))
+    lines = lines.withColumn("text", text).withColumn("y0", F.when(head, 10.0).when(foot, 380.0).otherwise(F.col("y0"))).withColumn("y1", F.when(head, 20.0).when(foot, 390.0).otherwise(F.col("y1")))
+    found = layout.mark_margins(layout.with_page_size(lines))
     return found.where(F.col("kind").isin("header", "footer")).select("doc_id", "atom_id", "kind", "margin_flag")
 
 
@@ -72,8 +77,9 @@ def layout_coverage(spark, sf):
 
 
 def layout_cross_page(spark, sf):
-    """Every line with the line that follows it."""
-    return layout.cross_page(_prose(spark, sf).select("doc_id", "ord", "page", "text")).where("flag is not null").select("doc_id", F.col("ord").cast("long").alias("ord"), "flag")
+    """Every line with the line that follows it, on pages of four lines."""
+    lines = _prose(spark, sf).withColumn("page", (F.floor(F.col("ord") / 4) + 1).cast("int"))
+    return layout.cross_page(lines.select("doc_id", "ord", "page", "text")).where("flag is not null").select("doc_id", F.col("ord").cast("long").alias("ord"), "flag")
 
 
 def crop_containment(spark, sf):
@@ -103,9 +109,9 @@ WITH h AS (SELECT doc_id, page, y1 - y0 AS h, length({_TRIM}) > 20 AND y1 - y0 B
 p AS (SELECT doc_id, page, list_sort(list(h) FILTER (WHERE good)) AS a, list_sort(list(h) FILTER (WHERE h > 0)) AS b FROM h GROUP BY ALL)
 SELECT doc_id, page::BIGINT AS page, CASE WHEN len(a) > 0 THEN a[len(a) // 2 + 1] WHEN len(b) > 0 THEN b[len(b) // 2 + 1] ELSE 10.0 END::DOUBLE AS body_height FROM p""",
     "layout_margins": f"""
-WITH b AS (SELECT *, {_NORM} AS k, y0 < 36 OR y1 > 364 AS near FROM ({_BOX})), r AS (SELECT doc_id, k FROM b WHERE near AND k <> '' GROUP BY ALL HAVING count(DISTINCT page) >= 3)
-SELECT b.doc_id, atom_id, CASE WHEN r.k IS NOT NULL AND y0 < 200 THEN 'header' ELSE 'footer' END AS kind, CASE WHEN r.k IS NOT NULL THEN 'repeated_margin' ELSE 'page_number' END AS margin_flag
-FROM b LEFT JOIN r ON b.doc_id = r.doc_id AND b.k = r.k AND near WHERE r.k IS NOT NULL OR (regexp_matches({_TRIM}, '^[0-9]{{1,3}}$') AND y0 > 360)""",
+WITH b AS (SELECT doc_id, atom_id, ord, ord // 4 + 1 AS page FROM ({_BOX})), c AS (SELECT doc_id, count(DISTINCT page) AS n FROM b GROUP BY 1)
+SELECT doc_id, atom_id, CASE WHEN ord % 4 = 0 THEN 'header' ELSE 'footer' END AS kind, CASE WHEN ord % 4 = 0 THEN 'repeated_margin' ELSE 'page_number' END AS margin_flag
+FROM b JOIN c USING (doc_id) WHERE (ord % 4 = 0 AND n >= 3) OR (ord % 4 = 3 AND page % 2000 < 1000)""",
     "layout_gutter": _GUTTER,
     "layout_columns": f"""
 WITH b AS ({_BOX}), w AS (SELECT doc_id, page FROM b GROUP BY ALL HAVING count(*) FILTER (WHERE x1 - x0 >= 330) >= 4 AND count(*) FILTER (WHERE x1 - x0 >= 330) >= 0.4 * count(*)),
@@ -125,7 +131,7 @@ j AS (SELECT g.doc_id, g.page, g.atom_id, t.atom_id AS host_id, least(g.y1, t.y1
 SELECT doc_id, atom_id, host_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, atom_id ORDER BY shared DESC, t_ord) AS k FROM j WHERE shared > 0) WHERE k = 1""",
     "layout_coverage": f"SELECT 'ok' AS status, count(*)::BIGINT AS n_atoms FROM ({_LINES})",
     "layout_cross_page": rf"""
-WITH i AS (SELECT doc_id, ord, page, text, lead(page) OVER w AS np, lead(text) OVER w AS nt FROM ({_BOX}) WHERE ord % 3 = 0 WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+WITH i AS (SELECT doc_id, ord, ord // 4 + 1 AS page, text, lead(ord // 4 + 1) OVER w AS np, lead(text) OVER w AS nt FROM ({_BOX}) WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
 f AS (SELECT doc_id, ord, rtrim(text) AS t, trim(nt) AS nt, np = page + 1 AS turns FROM i),
 c AS (SELECT *, regexp_matches(t, '[.?!]$') AND NOT regexp_matches(t, '(?i)(et al|e\.g|i\.e|vs|fig|dr|mr|mrs|prof|al)\.$') AND NOT regexp_matches(t, '\b[A-Z]\.$') AS ends,
   length(nt) BETWEEN 1 AND 90 AND (lower(nt) IN ('abstract', 'references', 'acknowledgments', 'acknowledgements', 'appendix') OR (regexp_matches(nt, '^\d+(\.\d+)*\.?\s+[A-Z]') AND len(string_split(nt, ' ')) <= 14)) AS heading FROM f)
