@@ -108,7 +108,24 @@ def locate(text: str, needle: str, used: list[tuple[int, int]], occurrence: int
     return span
 
 
-def locate_groups(text: str, groups: list[list[str]]) -> list[list[tuple[int, int]]]:
-    """Spans of the fragments of each group in turn, each first-free."""
+def fragments_of(group: object) -> list[tuple[str, int | None, str | None]]:
+    """(text, occurrence, anchor) of a group's fragments: one of them or a list, each a text or a mapping that holds it."""
+    listed = [group] if isinstance(group, (str, dict)) else group
+    if not isinstance(listed, list) or not listed:
+        raise FragmentError("fragment not found")
+    out = []
+    for fragment in listed:
+        held = fragment if isinstance(fragment, dict) else {"text": fragment}
+        needle, anchor = held.get("text"), held.get("anchor")
+        if not isinstance(needle, str) or not needle:
+            raise FragmentError("fragment not found")
+        if anchor is not None and (not isinstance(anchor, str) or needle not in anchor):
+            raise FragmentError("anchor must contain fragment")
+        out.append((needle, held.get("occurrence"), anchor))
+    return out
+
+
+def locate_groups(text: str, groups: list) -> list[list[tuple[int, int]]]:
+    """Spans of the fragments of each group in turn, each first-free unless it names its occurrence."""
     used: list[tuple[int, int]] = []
-    return [[locate(text, fragment, used) for fragment in group] for group in groups]
+    return [[locate(text, needle, used, occurrence, anchor) for needle, occurrence, anchor in fragments_of(group)] for group in groups]

@@ -155,6 +155,19 @@ def has_formula_markup(text: Column) -> Column:
     return F.exists(F.concat(display, inline), lambda b: b.rlike(r"(?U)\S"))
 
 
+def is_math_only(text: Column) -> Column:
+    """Whether a text is formulas and blanks only."""
+    bare = strip(F.coalesce(text, F.lit("")))
+    return (bare != "") & bare.rlike(r"^(?U)(?:\$\$[\s\S]*?\$\$|\$[^$]+\$|\s)+$") & ~bare.endswith("\n")
+
+
+def wrap_math(latex: Column, display: Column) -> Column:
+    """A formula between dollar signs, on one line; empty if there is none."""
+    body = collapse(F.replace(F.coalesce(latex, F.lit("")), F.lit("$"), F.lit("")))
+    sign = F.when(display, "$$").otherwise("$")
+    return F.when(body == "", "").otherwise(F.concat(sign, body, sign))
+
+
 def nonblank_lines(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"(?U)\S")))
 

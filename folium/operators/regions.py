@@ -47,6 +47,51 @@ def crop_name(page: Column, box: list[Column]) -> Column:
     return F.concat(F.lit("region-"), F.substring(F.sha2(key.cast("binary"), 256), 1, 16), F.lit(".png"))
 
 
+def source_crop(width: Column, height: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """The pixel box that is left of an image when a document cuts shares off its sides, in thousandths of a percent; never empty."""
+    share = lambda size, cut: F.bround(size * cut / 100000.0).cast("long")
+    x0 = F.greatest(F.lit(0), F.least(share(width, left), width - 1))
+    y0 = F.greatest(F.lit(0), F.least(share(height, top), height - 1))
+    x1 = F.greatest(x0 + 1, F.least(F.bround(width * (1.0 - right / 100000.0)).cast("long"), width))
+    y1 = F.greatest(y0 + 1, F.least(F.bround(height * (1.0 - bottom / 100000.0)).cast("long"), height))
+    return F.when((width > 0) & (height > 0), F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+
+
+def device_point(x: Column, y: Column, world: list[Column], mode: Column, window: list[Column], viewport: list[Column]) -> Column:
+    """A point of a metafile on its device: first the world's matrix (m11, m12, m21, m22, dx, dy), then, but in mode 1, window to viewport.
+
+    window and viewport: origin x and y, extent x and y. Mode 1 moves by the viewport's origin alone; a window without extent moves nothing.
+    """
+    m11, m12, m21, m22, dx, dy = world
+    wx, wy = m11 * x + m21 * y + dx, m12 * x + m22 * y + dy
+    scaled = [(w - window[k]) * viewport[k + 2] / F.nullif(window[k + 2], F.lit(0)) + viewport[k] for k, w in enumerate((wx, wy))]
+    flat = (window[2] == 0) | (window[3] == 0)
+    out = [F.when(mode == 1, w + viewport[k]).when(flat, w).otherwise(scaled[k]) for k, w in enumerate((wx, wy))]
+    return F.struct(out[0].cast("double").alias("x"), out[1].cast("double").alias("y"))
+
+
+IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp")
+
+
+def local_images(images: DataFrame, files: DataFrame) -> DataFrame:
+    """images (doc_id, block_id, folder, target) with asset where a file in the document's folder (path in files) is meant, else with an issue.
+
+    A target with a scheme or two slashes is never fetched; one that leaves the folder, has no image's suffix or no file is not embedded.
+    """
+    steps = F.filter(F.split(F.concat_ws("/", "folder", "target"), "/"), lambda x: (x != "") & (x != "."))
+    done = F.aggregate(steps, F.array().cast("array<string>"), lambda held, x: F.when(x != "..", F.concat(held, F.array(x))).otherwise(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))))
+    there = files.select(F.col("path").alias("_path"), F.lit(True).alias("_there")).distinct()
+    rooted = F.when(F.col("target").startswith("/"), F.lit(None)).otherwise(F.array_join(done, "/"))
+    both = images.withColumn("_path", rooted).join(there, "_path", "left")
+    suffix = F.lower(F.regexp_extract("target", r"\.([^./]+)$", 1))
+    remote = F.col("target").rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//)")
+    inside = F.col("_path").startswith(F.concat("folder", F.lit("/")))
+    safe = F.coalesce(~remote & inside & suffix.isin(*IMAGE_SUFFIXES) & F.col("_there"), F.lit(False))
+    name = F.concat(F.lit("image-"), "block_id", F.lit("."), suffix)
+    issue = F.concat(F.lit("image-"), "block_id")
+    return both.select(*images.columns, F.when(safe, name).alias("asset"), F.when(safe, F.col("_path")).alias("copied_from"), F.when(~safe, issue).alias("issue_id"), F.when(~safe, "Image not embedded (remote, missing or unsafe path)").alias("message"))
+
+
 def coverage_errors(blocks: DataFrame, crops: DataFrame, atoms: DataFrame) -> DataFrame:
     """doc_id, block_id, error of figures and tables whose crop does not hold their sources.
 

@@ -6,8 +6,10 @@ import base64
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folium.functions import text as X
 from folium.operators import ledger
@@ -16,7 +18,55 @@ TASK_LIMIT, WINDOW_LIMIT, PREVIEW = 16, 24, 160
 
 
 def summary(block: DataFrame) -> DataFrame:
-    return block.select("doc_id", "block_id", "kind", F.substring("text", 1, PREVIEW).alias("text"), (F.coalesce("structure_note", F.lit("")) != "").alias("has_structure_note"), F.size("source_ids").alias("source_count"))
+    return block.select("doc_id", "block_id", "kind", F.substring("text", 1, PREVIEW).alias("text"), (X.strip(F.coalesce("structure_note", F.lit(""))) != "").alias("has_structure_note"), F.size("source_ids").alias("source_count"))
+
+
+def public_blocks(blocks: DataFrame) -> DataFrame:
+    """What an agent sees of a block: no history and no long note, but the hash that a review must name."""
+    mode = ["table_mode"] if "table_mode" in blocks.columns else []
+    shown = ["doc_id", "ord", "block_id", "kind", "text", "source_ids", "asset", "target", "reviewed_hash", "user_edited", *mode]
+    return blocks.select(*shown, F.sha2(F.col("target").cast("binary"), 256).alias("translation_hash"), (X.strip(F.coalesce("structure_note", F.lit(""))) != "").alias("has_structure_note"))
+
+
+def with_refs(rows: DataFrame, shown: DataFrame) -> DataFrame:
+    """rows with `ref`: where a block is shown already (doc_id, block_id in shown) all but its id and place is null."""
+    seen = shown.select("doc_id", "block_id").distinct().withColumn("ref", F.lit(True))
+    both = rows.join(seen, ["doc_id", "block_id"], "left").withColumn("ref", F.coalesce("ref", F.lit(False)))
+    kept = ("doc_id", "block_id", "ord", "ref")
+    return both.select(*[F.col(c) if c in kept else F.when(~F.col("ref"), F.col(c)).alias(c) for c in both.columns])
+
+
+def listing(docs: DataFrame) -> DataFrame:
+    """Documents by id, as a page of a reader lists them."""
+    return docs.select("doc_id", "title", "stage", "revision").orderBy("doc_id")
+
+
+def projection_meta(docs: DataFrame, blocks: DataFrame, atoms: DataFrame) -> DataFrame:
+    """The head of every view: doc_id, title, revision, stage, fingerprint, source_file, schema_version and the numbers of blocks and atoms."""
+    counts = [rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name)) for rows, name in ((blocks, "block_count"), (atoms, "atom_count"))]
+    both = docs.join(counts[0], "doc_id", "left").join(counts[1], "doc_id", "left").na.fill(0, ["block_count", "atom_count"])
+    return both.select("doc_id", "title", "revision", "stage", "fingerprint", "source_file", "schema_version", F.lit(True).alias("projection"), "block_count", "atom_count")
+
+
+def shows_text(kind: Column, asset: Column, target: Column) -> Column:
+    """Whether a reader shows a block's text beside its image: not that of untranslated figures and formulas."""
+    return ~((F.coalesce(asset, F.lit("")) != "") & target.isNull() & kind.isin("figure", "formula"))
+
+
+def plain_references(blocks: DataFrame, notes: DataFrame) -> DataFrame:
+    """doc_id, block_id of references shown in one column: untranslated, or word for word, unedited and without an attached note on the translation."""
+    held = notes.where("side = 'target' and status <> 'orphaned'").select("doc_id", "block_id").distinct().withColumn("_held", F.lit(True))
+    both = blocks.where("kind = 'reference'").join(held, ["doc_id", "block_id"], "left")
+    copied = (F.col("target") == F.col("text")) & ~F.coalesce("user_edited", F.lit(False)) & F.col("_held").isNull()
+    return both.where(F.col("target").isNull() | copied).select("doc_id", "block_id")
+
+
+def preview(candidates: DataFrame) -> DataFrame:
+    """doc_id, preview: the structure candidates of each document as Markdown, a page after the other."""
+    line = F.concat(F.lit("- `"), "id", F.lit("` **"), "kind_hint", F.lit("** ("), "column", F.lit(") "), "text_preview")
+    pages = candidates.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("_lines"))
+    whole = F.concat(F.lit("## Page "), F.col("page").cast("string"), F.lit("\n"), F.array_join(F.col("_lines.line"), "\n"))
+    return pages.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page", whole.alias("text"))))["text"], "\n\n").alias("preview"))
 
 
 def outline(blocks: DataFrame) -> DataFrame:
@@ -95,8 +145,37 @@ def page_errors(page: str, snapshot: str) -> list[str]:
     return errors
 
 
-def export(spark: SparkSession, pages: DataFrame, errors: DataFrame, path: str) -> DataFrame:
-    """Writes the pages (doc_id, page) of documents without errors to a folder and returns them as read back; others are refused."""
-    good = pages.join(errors.select("doc_id").distinct(), "doc_id", "left_anti")
-    good.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def data_uris(assets: DataFrame) -> DataFrame:
+    """doc_id, asset, uri: the bytes of images (content) as they stand in a page that needs nothing else."""
+    suffix = F.lower(F.regexp_extract("asset", r"\.([^.]+)$", 1))
+    kind = F.when(suffix.isin("jpg", "jpeg"), "image/jpeg").when(suffix.isin("png", "gif", "webp"), F.concat(F.lit("image/"), suffix)).when(suffix == "svg", "image/svg+xml").otherwise("application/octet-stream")
+    return assets.select("doc_id", "asset", F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64("content")).alias("uri"))
+
+
+def snapshots_with_assets(shots: DataFrame, assets: DataFrame) -> DataFrame:
+    """doc_id, snapshot: each document's snapshot and its images by name, in one JSON object."""
+    held = data_uris(assets).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", "uri")))).alias("_assets"))
+    both = shots.join(held, "doc_id", "left")
+    images = F.coalesce(F.to_json("_assets"), F.lit("{}"))
+    return both.select("doc_id", F.concat(F.lit('{"document":'), "snapshot", F.lit(',"assets":'), images, F.lit("}")).alias("snapshot"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _faults(page: pd.Series, snapshot: pd.Series) -> pd.Series:
+    return pd.Series([page_errors(p, s) for p, s in zip(page, snapshot, strict=True)])
+
+
+def export(spark: SparkSession, pages: DataFrame, errors: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Writes the pages (doc_id, page, snapshot) of documents without errors to a folder; returns them as read back, and the refusals.
+
+    A page is checked before it is written; after that it is read again, and a page that differs from what was checked is an error.
+    """
+    sound = pages.withColumn("_faults", _faults("page", "snapshot")).withColumn("_sha256", F.sha2(F.col("page").cast("binary"), 256))
+    open_work = errors.select("doc_id", F.lit("Complete translation and review before export").alias("error")).distinct()
+    broken = sound.where(F.size("_faults") > 0).select("doc_id", F.concat(F.lit("Export integrity check failed: "), F.array_join("_faults", ", ")).alias("error"))
+    good = sound.where(F.size("_faults") == 0).join(open_work.select("doc_id"), "doc_id", "left_anti")
+    good.select("doc_id", "page", "_sha256").write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    if not back.where(F.sha2(F.col("page").cast("binary"), 256) != F.col("_sha256")).isEmpty():
+        raise ValueError("Export integrity check failed: saved pages differ from checked content")
+    return back.select("doc_id", "page"), open_work.join(pages.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(broken)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name: callable) and ORACLES (name: SQL).
-_MODULES = ("ledger_queries", "quality_queries", "layout_queries", "mutation_queries", "source_queries")
+_MODULES = ("ledger_queries", "quality_queries", "layout_queries", "mutation_queries", "submission_queries", "source_queries")
 
 
 def _all(name: str) -> dict:
