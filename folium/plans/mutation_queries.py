@@ -123,6 +123,10 @@ w AS (SELECT doc_id, min(coalesce(a, 0)) AS f, max(coalesce(z, 2147483647)) AS t
 i AS (SELECT doc_id, ord FROM (SELECT s.doc_id, s.ord, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.ord) AS k FROM s JOIN w ON s.doc_id = w.doc_id AND ord >= f AND ord < t) WHERE k <= 24),
 r AS (SELECT doc_id, ord, 2 AS p FROM i UNION ALL SELECT doc_id, ord, 0 FROM c UNION ALL SELECT b.doc_id, b.ord, 1 FROM b JOIN c ON b.doc_id = c.doc_id AND abs(b.ord - c.ord) = 1)
 SELECT doc_id, ord::BIGINT AS ord, ['task', 'neighbour', 'section'][min(p) + 1] AS role FROM r GROUP BY doc_id, ord""",
+    "snapshot_export": f"""
+WITH b AS (SELECT doc_id, string_agg('{{"ord":' || ord || ',"block_id":"' || printf('b%05d', ord) || '","kind":"' || {_KIND} || '","text":' || to_json(line)::VARCHAR || '}}', ',' ORDER BY ord) AS blocks FROM ({_LINES}) GROUP BY doc_id),
+s AS (SELECT doc_id, '{{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","blocks":[' || blocks || ']}}' AS j FROM documents JOIN b USING (doc_id))
+SELECT doc_id, sha256('<!doctype html><html><head><meta charset="utf-8"><title>a &lt; b</title></head><body><script id="snapshot" type="application/json">' || replace(j, '<', '\\u003c') || '</script></body></html>') AS page_sha256, length(j)::BIGINT AS n_chars FROM s""",
     "issue_asset_rollup": f"""
 SELECT source, kind, count(*)::BIGINT AS n_blocks, grouping(source, kind)::BIGINT AS level FROM (SELECT doc_id, {_KIND} AS kind FROM ({_LINES})) JOIN documents USING (doc_id) GROUP BY ROLLUP (source, kind)""",
     "partition_of_merged": f"SELECT true AS ok, count(DISTINCT doc_id)::BIGINT AS n_documents, count(*)::BIGINT AS n_atoms FROM ({_LINES})",

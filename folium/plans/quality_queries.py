@@ -27,9 +27,14 @@ def number_multiset_diff(spark, sf):
 
 
 def citation_formula_diff(spark, sf):
+    """Turns as one run of letters, followed by a number with a unit, a citation and a formula, which change in every second, fifth and third answer."""
     pairs = quality.turns_as_pairs(_t(spark, sf, "conversations"))
-    found = X.differences(F.col("source"), F.col("target"))
-    return pairs.select("conv_id", "turn", *[F.array_contains(found, c).alias(f"{c}_differ") for c in ("units", "formulas", "citations")])
+    letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]+", "q")
+    change = lambda c, n, one, other: F.when(F.col(c) % n == 0, one).otherwise(other)
+    source = F.concat(letters("source"), F.lit(" runs at 5 kW [3] $a$"))
+    target = F.concat(letters("target"), F.lit(" 5 "), change("conv_id", 2, "MW", "kW"), F.lit(" "), change("conv_id", 5, "[3, 4]", "[3]"), F.lit(" "), change("conv_id", 3, "$b$", "$a$"))
+    found = X.differences(source, target)
+    return pairs.select("conv_id", "turn", *[F.array_contains(found, c).alias(f"{c}_differ") for c in ("numbers", "units", "formulas", "citations")])
 
 
 def duplicate_texts_need_reason(spark, sf):
@@ -101,12 +106,10 @@ def note_overlap(spark, sf):
 
 
 def term_matches(spark, sf):
-    """Terms are the first two words of benchmark items: n-grams of documents are joined with terms of their length."""
+    """Every two words that follow each other in a benchmark item are a term: they are joined with those of documents."""
     words = F.split(X.term_normal(F.col("text")), " ")
-    terms = _t(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 2), " ").alias("term")).where("term <> ''")
-    grams = _t(spark, sf, "documents").select("doc_id", words.alias("w")).where(F.size("w") >= 2)
-    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1))))).alias("term"))
-    return grams.join(terms, "term").select("doc_id", "item_id")
+    pairs = lambda key, table: _t(spark, sf, table).select(key, words.alias("w")).where(F.size("w") >= 2).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1))))).alias("term"))
+    return pairs("doc_id", "documents").join(pairs("item_id", "benchmark"), "term").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
 TERMS = ("the / of", "input/output", "therhean", "und / der / die", "a b / is the", " / ")
@@ -118,20 +121,34 @@ def term_alias_matches(spark, sf):
     return docs.agg(*hits)
 
 
+def _priced(spark, sf):
+    """Stand-in: documents without dollar signs, followed by a price and two formulas."""
+    number = F.col("doc_id").cast("string")
+    text = F.concat(F.replace("text", F.lit("$"), F.lit("S")), F.lit(" costs $"), number, F.lit(" now, $x_"), number, F.lit("$ and $$y="), number, F.lit("$$ end"))
+    return _t(spark, sf, "documents").select("doc_id", reading.math_tokens(text).alias("tokens"))
+
+
 def math_tokens(spark, sf):
-    tokens = _t(spark, sf, "documents").select("doc_id", F.posexplode(reading.math_tokens("text")).alias("ord", "token"))
+    tokens = _priced(spark, sf).select("doc_id", F.posexplode("tokens").alias("ord", "token"))
     return tokens.select("doc_id", *_long("ord"), F.col("token.type").alias("type"), F.sha2(F.col("token.value").cast("binary"), 256).alias("value_sha256"))
 
 
 def currency_amounts(spark, sf):
-    found = F.regexp_extract_all("text", F.lit(r"\$((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?)(?=[\s.;:!?%)]|$)"), 1)
-    return _t(spark, sf, "documents").select("doc_id", F.array_join(found, " ").alias("amounts")).where("amounts <> ''")
+    """Amounts of money that stay text, and the formulas beside them."""
+    tokens = F.col("tokens")
+    prose = F.array_join(F.transform(F.filter(tokens, lambda t: t["type"] == "text"), lambda t: t["value"]), " ")
+    amounts = F.regexp_extract_all(prose, F.lit(r"\$(" + reading.AMOUNT + ")"), 1)
+    formulas = F.transform(F.filter(tokens, lambda t: t["type"] != "text"), lambda t: t["value"])
+    return _priced(spark, sf).select("doc_id", F.array_join(amounts, " ").alias("amounts"), F.array_join(formulas, " ").alias("formulas"))
 
 
 def table_shape(spark, sf):
-    """Documents' lines with pipes as tables of their own."""
-    found = _t(spark, sf, "documents").withColumn("t", reading.table_cells(F.array_join(F.filter(F.split("text", "\n"), lambda x: x.contains("|")), "\n")))
-    return found.select("doc_id", F.col("t.header").alias("header"), F.size("t.rows").cast("long").alias("n_rows"), F.size(F.col("t.rows")[0]).cast("long").alias("n_columns"))
+    """Documents as tables: a header, a rule and a row for each line that is not blank, with its number."""
+    lines = F.filter(F.split(F.regexp_replace("text", r"[|\\\t]", ""), "\n"), lambda x: F.trim(x) != "")
+    rows = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("| "), (i + 1).cast("string"), F.lit(" | "), x, F.lit(" |"))), "\n")
+    found = _t(spark, sf, "documents").withColumn("t", reading.table_cells(F.concat(F.lit("| n | text |\n|---|:---:|\n"), rows)))
+    cells = F.array_join(F.transform(F.flatten("t.rows"), lambda c: c["text"]), "|")
+    return found.select("doc_id", F.col("t.header").alias("header"), F.size("t.rows").cast("long").alias("n_rows"), F.size(F.col("t.rows")[0]).cast("long").alias("n_columns"), F.sha2(cells.cast("binary"), 256).alias("cells_sha256"))
 
 
 def table_rows_preserved(spark, sf):
@@ -255,14 +272,33 @@ FROM (SELECT *, first_value(length(line)) OVER (PARTITION BY doc_id ORDER BY ord
 SELECT a.user_id, a.event_id AS note_id, b.event_id AS segment_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type <> 'click'
 AND a.event_id % 500 < b.event_id % 500 + 9 AND b.event_id % 500 < a.event_id % 500 + 6""",
     "term_matches": f"""
-WITH t AS (SELECT item_id, array_to_string(string_split({_NORM}, ' ')[1:2], ' ') AS term FROM benchmark), d AS (SELECT doc_id, ' ' || {_NORM} || ' ' AS hay FROM documents)
-SELECT doc_id, item_id FROM d JOIN t ON term <> '' AND contains(hay, ' ' || term || ' ')""",
+WITH d AS (SELECT doc_id, string_split({_NORM}, ' ') AS w FROM documents), t AS (SELECT item_id, string_split({_NORM}, ' ') AS w FROM benchmark),
+dp AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)), tp AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] AS term FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM t))
+SELECT doc_id, item_id, count(*)::BIGINT AS n_terms FROM dp JOIN tp USING (term) GROUP BY ALL""",
     "term_alias_matches": f"""
 WITH d AS (SELECT ' ' || {_NORM} || ' ' AS h FROM documents)
 SELECT count(*) FILTER (WHERE contains(h, ' the ') OR contains(h, ' of ') OR contains(h, ' the of '))::BIGINT AS term_0, count(*) FILTER (WHERE contains(h, ' input output '))::BIGINT AS term_1,
        count(*) FILTER (WHERE contains(h, ' therhean '))::BIGINT AS term_2, count(*) FILTER (WHERE contains(h, ' und ') OR contains(h, ' der ') OR contains(h, ' die ') OR contains(h, ' und der die '))::BIGINT AS term_3,
        count(*) FILTER (WHERE contains(h, ' a b ') OR contains(h, ' is the ') OR contains(h, ' a b is the '))::BIGINT AS term_4, 0::BIGINT AS term_5 FROM d""",
-    "currency_amounts": r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\$((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?)(?:[\s.;:!?%)]|$)', 1), ' ') AS amounts FROM documents WHERE amounts <> ''",
+    "currency_amounts": "SELECT doc_id, doc_id::VARCHAR AS amounts, 'x_' || doc_id || ' y=' || doc_id AS formulas FROM documents",
+    "math_tokens": """
+WITH t AS (SELECT doc_id, unnest([{'k': 'text', 'v': replace(text, '$', 'S') || ' costs $' || doc_id || ' now, '}, {'k': 'inline', 'v': 'x_' || doc_id}, {'k': 'text', 'v': ' and '}, {'k': 'display', 'v': 'y=' || doc_id}, {'k': 'text', 'v': ' end'}]) AS t, unnest(range(0, 5)) AS ord FROM documents)
+SELECT doc_id, ord, t.k AS type, sha256(t.v) AS value_sha256 FROM t""",
+    "table_shape": rf"""
+WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i, trim(regexp_replace(line, '[|\\\t]', '', 'g')) AS line FROM ({_LINES}) WHERE trim(regexp_replace(line, '[|\\\t]', '', 'g')) <> '')
+SELECT doc_id, true AS header, (count(*) + 1)::BIGINT AS n_rows, 2::BIGINT AS n_columns, sha256('n|text|' || string_agg(i || '|' || line, '|' ORDER BY i)) AS cells_sha256 FROM l GROUP BY doc_id""",
+    "citation_formula_diff": f"SELECT conv_id, turn, conv_id % 5 = 0 AS numbers_differ, conv_id % 2 = 0 AS units_differ, conv_id % 3 = 0 AS formulas_differ, conv_id % 5 = 0 AS citations_differ FROM ({_PAIRS})",
+    "pair_offsets_greedy": """
+WITH d AS (SELECT doc_id, list_filter(range(0, length(text)), lambda i: substr(text, i + 1, 2) = 'th') AS h, text FROM documents),
+p AS (SELECT doc_id, h, list_filter(h, lambda i: substr(text, i + 1, 3) = 'the') AS e, list_filter(h, lambda i: substr(text, i + 1, 4) = 'thth') AS x FROM d),
+a AS (SELECT *, e[1] AS a FROM p), b AS (SELECT *, list_filter(h, lambda i: i + 2 <= a OR a + 3 <= i)[1] AS b FROM a),
+c AS (SELECT *, list_filter(e, lambda i: (i + 3 <= a OR a + 3 <= i) AND (i + 3 <= b OR b + 2 <= i))[1] AS c FROM b),
+z AS (SELECT *, list_filter(x, lambda i: (i + 4 <= a OR a + 3 <= i) AND (i + 4 <= b OR b + 2 <= i) AND (i + 4 <= c OR c + 3 <= i))[1] AS z FROM c),
+f AS (SELECT *, CASE WHEN a IS NULL THEN 'fragment not found' WHEN b IS NULL OR c IS NULL THEN 'fragment already used' WHEN z IS NULL THEN CASE WHEN len(x) = 0 THEN 'fragment not found' ELSE 'fragment already used' END END AS error FROM z)
+SELECT doc_id, 0::BIGINT AS "group", NULL AS spans, error FROM f WHERE error IS NOT NULL
+UNION ALL SELECT doc_id, 1, '[{"s":' || a || ',"e":' || a + 3 || '}]', NULL FROM f WHERE error IS NULL
+UNION ALL SELECT doc_id, 2, '[{"s":' || b || ',"e":' || b + 2 || '},{"s":' || c || ',"e":' || c + 3 || '}]', NULL FROM f WHERE error IS NULL
+UNION ALL SELECT doc_id, 3, '[{"s":' || z || ',"e":' || z + 4 || '}]', NULL FROM f WHERE error IS NULL""",
     "table_rows_preserved": f"""
 WITH p AS (SELECT conv_id, turn, len(list_filter(string_split(source, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS a, len(list_filter(string_split(target, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS b FROM ({_PAIRS}))
 SELECT conv_id, turn, a AS source_rows, b AS target_rows, NOT (a > 1 AND b <= 1) AS preserved FROM p""",
@@ -273,7 +309,7 @@ SELECT category, count(*) FILTER (WHERE NOT done)::BIGINT AS unresolved, count(*
 WITH i AS (SELECT CASE event_type WHEN 'click' THEN 'tex-env' WHEN 'view' THEN 'image' ELSE 'page' END AS category, value > 50 AS done FROM events)
 SELECT request, category, count(*) FILTER (WHERE request = 'good' AND category = 'tex-env' AND NOT done)::BIGINT AS n_resolved, count(*)::BIGINT AS n FROM i, (SELECT unnest(['good', 'bad']) AS request) GROUP BY ALL""",
     "evidence_screen": f"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS f FROM documents), v AS (SELECT doc_id, f, {_FILLER.format(x=_CLEAN)} AS weak, {_EVIDENCE} AS evidence FROM d)
+WITH d AS (SELECT doc_id, text AS f FROM documents), v AS (SELECT doc_id, f, {_FILLER.format(x=_CLEAN)} AS weak, {_EVIDENCE} AS evidence FROM d)
 SELECT doc_id, weak, evidence, CASE WHEN length(trim(f)) < 24 THEN 'too short' WHEN weak THEN 'too weak' WHEN NOT evidence THEN 'no evidence' ELSE 'ok' END AS verdict FROM v""",
     "canonical_source": r"SELECT doc_id, sha256(replace(regexp_replace(lower(text), '[^\pL\pN]', '', 'g'), 'ß', 'ss')) AS canonical_sha256 FROM documents",
     "short_resolution": f"SELECT doc_id, CASE WHEN length(c) <= 120 THEN c ELSE rtrim(substr(c, 1, 120)) || '…' END AS short FROM (SELECT doc_id, {_COL.format('text')} AS c FROM documents)",

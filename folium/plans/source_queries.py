@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folium.functions import text as X
-from folium.operators import ledger
+from folium.operators import ledger, views
 from folium.sources import files
 from folium.streaming import ingest
 
@@ -18,10 +18,12 @@ def _as_files(table, key, text, suffix):
     return table.select(F.concat(F.col(key).cast("string"), F.lit(suffix)).alias("path"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("content"))
 
 
-def _blocks(spark, sf, suffix):
-    table, text = (_t(spark, sf, "pages"), "html") if suffix == ".html" else (_t(spark, sf, "documents"), "text")
-    key = "page_id" if suffix == ".html" else "doc_id"
-    return files.fragments_of(files.import_rows(_as_files(table, key, F.col(text), suffix)))
+def _import(table, key, text, suffix):
+    return files.import_rows(_as_files(table, key, text, suffix))
+
+
+def _pages(spark, sf):
+    return files.fragments_of(_import(_t(spark, sf, "pages"), "page_id", F.col("html"), ".html"))
 
 
 def _result(rows):
@@ -29,19 +31,33 @@ def _result(rows):
 
 
 def html_blocks(spark, sf):
-    return _result(_blocks(spark, sf, ".html"))
+    """Blocks of pages, and whether each stands at its place in the page as it is."""
+    html = _t(spark, sf, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), "html")
+    there = F.substr("html", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")
+    return _pages(spark, sf).join(html, "path").select("path", "doc_id", "block_id", "kind", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), there.alias("located"))
+
+
+#: A text of words and stops, its lines marked, so that only what is put around it has a meaning in Markdown or TeX.
+_BARE = F.regexp_replace("text", r"[^\p{L}\p{N} .,\n]", "")
+_MARKED = F.concat(F.lit("w "), F.regexp_replace(_BARE, r"\n", "\nw "))
 
 
 def markdown_blocks(spark, sf):
-    return _result(_blocks(spark, sf, ".md"))
+    """Documents between a heading, a fence, a table, a formula, a list and an image."""
+    number = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("# Doc "), number, F.lit("\n\n"), _MARKED, F.lit("\n\n```\n"), _MARKED, F.lit("\n```\n\n| a | b |\n|---|---|\n| 1 | "), number, F.lit(" |\n\n$$x="), number, F.lit("$$\n\n- one\n- two\n\n![far](http://e.org/a.png)\n"))
+    return _result(files.fragments_of(_import(_t(spark, sf, "documents"), "doc_id", text, ".md")))
 
 
 def tex_blocks(spark, sf):
-    return _result(_blocks(spark, sf, ".tex"))
+    """Documents between a title, a section, an equation, a verbatim and an environment that is not known."""
+    number = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("\\documentclass{article} % gone\n\\title{Doc \\textbf{"), number, F.lit("}}\n\\begin{document}\n\\section*{Intro "), number, F.lit("}\n"), _MARKED, F.lit("\n\\begin{equation}x="), number, F.lit("\\end{equation}\n\\begin{verbatim}\n"), _MARKED, F.lit("\n\\end{verbatim}\n\\begin{odd}kept\\end{odd}\n\\end{document}\n"))
+    return _result(files.fragments_of(_import(_t(spark, sf, "documents"), "doc_id", text, ".tex"))).drop("start_at", "end_at")
 
 
 def text_import(spark, sf):
-    return _result(_blocks(spark, sf, ".txt"))
+    return _result(files.fragments_of(_import(_t(spark, sf, "documents"), "doc_id", F.col("text"), ".txt")))
 
 
 def import_issues(spark, sf):
@@ -51,35 +67,25 @@ def import_issues(spark, sf):
     return files.issues_of(found).groupBy(X.issue_prefix(F.col("issue_id")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_HIDDEN = r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>"
-
-
 def html_script_stripped(spark, sf):
-    bare = F.regexp_replace("html", _HIDDEN, "")
-    return _t(spark, sf, "pages").select("page_id", F.length(bare).cast("long").alias("n_chars"), F.sha2(bare.cast("binary"), 256).alias("html_sha256"))
-
-
-def _plain(markup):
-    out = F.regexp_replace(markup, "<[^>]*>", "")
-    for name, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    return X.collapse(out)
+    """Characters and blocks of each page, and blocks that hold what only scripts and styles say."""
+    hidden = F.col("text").contains("track(") | F.col("text").contains("margin:0")
+    return _pages(spark, sf).groupBy("path").agg(F.sum(F.length("text")).alias("n_chars"), F.count(F.lit(1)).alias("n_blocks"), F.count(F.when(hidden, 1)).alias("n_hidden"))
 
 
 def html_title_outline(spark, sf):
-    heads = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit("(?s)<h1>(.*?)</h1>"), 1)
-    rows = _t(spark, sf, "pages").select("page_id", F.posexplode(heads).alias("ord", "raw"))
-    return rows.select("page_id", F.col("ord").cast("long").alias("ord"), F.substring(_plain(F.col("raw")), 1, 160).alias("heading"))
+    return views.outline(_pages(spark, sf)).select("doc_id", "block_id", F.col("text").alias("heading"), F.col("level").cast("long").alias("level"))
 
 
 def html_list_text(spark, sf):
-    items = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit("(?s)<li>(.*?)</li>"), 1)
-    return _t(spark, sf, "pages").select("page_id", F.size(items).cast("long").alias("n_items"), F.array_join(F.transform(items, _plain), " ").alias("list_text"))
+    """Paragraphs of each page in order; a list that is no block of its own is one."""
+    rows = _pages(spark, sf).where("kind = 'paragraph'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("p"))
+    return rows.select("path", F.size("p").cast("long").alias("n_items"), F.sha2(F.array_join(F.col("p.text"), "\n").cast("binary"), 256).alias("text_sha256"))
 
 
 def html_partition(spark, sf):
     """Every atom of the importer is in exactly one block."""
-    rows = _blocks(spark, sf, ".html")
+    rows = _pages(spark, sf)
     found = ledger.partition_check(rows.select("doc_id", "atom_id"), rows.select("doc_id", F.array("atom_id").alias("source_ids")))
     return found.groupBy("ok").agg(F.count(F.lit(1)).alias("n_documents"))
 
@@ -90,21 +96,40 @@ def event_windows(spark, sf):
 
 QUERIES = {f.__name__: f for f in (html_blocks, markdown_blocks, tex_blocks, text_import, import_issues, html_script_stripped, html_title_outline, html_list_text, html_partition, event_windows)}
 
-_STRIPPED = r"regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<(?:style\b[^>]*>.*?</style|noscript\b[^>]*>.*?</noscript)\s*>', '', 'g')"
-_CLEAN = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&quot;', '" + '"' + r"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"
+_CLEAN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '</?p>|<br>|</?li>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+#: The pages' blocks: the navigation, whose list is no block, the advertisement, the heading, an article whose first paragraph never closes, the footer.
+_HTML = rf"""
+WITH h AS (SELECT min(page_id::VARCHAR || '.html') AS path, html, regexp_replace(regexp_replace(html, '(?s)<(?:script\b.*?</script|style\b.*?</style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS b FROM pages GROUP BY html),
+p AS (SELECT path, html, list_concat(list_concat(list_transform(regexp_extract_all(b, '(?s)<ul>(.*?)</ul>', 1), lambda x: {{'k': 'paragraph', 't': x}}), list_transform(regexp_extract_all(b, '(?s)<div[^>]*>(.*?)</div>', 1), lambda x: {{'k': 'paragraph', 't': x}})),
+  [{{'k': 'heading', 't': regexp_extract(b, '(?s)<h1>(.*?)</h1>', 1)}}, {{'k': 'paragraph', 't': regexp_extract(b, '(?s)</h1>(.*)</article>', 1)}}, {{'k': 'paragraph', 't': regexp_extract(b, '(?s)<footer>(.*?)</footer>', 1)}}]) AS l FROM h),
+u AS (SELECT path, html, i, l[i].k AS kind, {_CLEAN.format('l[i].t')} AS text FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM p)),
+r AS (SELECT path, substr(sha256(html), 1, 24) AS doc_id, row_number() OVER (PARTITION BY path ORDER BY i) AS ord, kind, text, contains(html, text) AS located FROM u WHERE text <> '')"""
+_BARE_SQL = r"regexp_replace(text, '[^\pL\pN .,\n]', '', 'g')"
+_MARKED_SQL = f"'w ' || replace({_BARE_SQL}, chr(10), chr(10) || 'w ')"
 
 ORACLES = {
     "text_import": """
-SELECT doc_id::VARCHAR || '.txt' AS path, substr(sha256(text), 1, 24) AS doc_id, 'b00001' AS block_id, 'paragraph' AS kind, sha256(trim(text, chr(10) || chr(13))) AS text_sha256,
+SELECT min(doc_id::VARCHAR || '.txt') AS path, substr(sha256(text), 1, 24) AS doc_id, 'b00001' AS block_id, 'paragraph' AS kind, sha256(trim(text, chr(10) || chr(13))) AS text_sha256,
        (length(text) - length(ltrim(text, chr(10) || chr(13))))::BIGINT AS start_at, length(rtrim(text, chr(10) || chr(13)))::BIGINT AS end_at
-FROM documents WHERE trim(text, ' ' || chr(10) || chr(13)) <> ''""",
-    "import_issues": "SELECT 'image' AS category, count(*)::BIGINT AS n FROM documents WHERE doc_id % 3 = 0",
-    "html_script_stripped": f"SELECT page_id, length(h)::BIGINT AS n_chars, sha256(h) AS html_sha256 FROM (SELECT page_id, {_STRIPPED} AS h FROM pages)",
-    "html_title_outline": f"""
-WITH h AS (SELECT page_id, regexp_extract_all({_STRIPPED}, '(?s)<h1>(.*?)</h1>', 1) AS l FROM pages), u AS (SELECT page_id, i - 1 AS ord, l[i] AS raw FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM h))
-SELECT page_id, ord::BIGINT AS ord, substr({_CLEAN.format('raw')}, 1, 160) AS heading FROM u""",
-    "html_list_text": f"""
-SELECT page_id, len(l)::BIGINT AS n_items, array_to_string(list_transform(l, lambda x: {_CLEAN.format('x')}), ' ') AS list_text FROM (SELECT page_id, regexp_extract_all({_STRIPPED}, '(?s)<li>(.*?)</li>', 1) AS l FROM pages)""",
+FROM documents WHERE trim(text, ' ' || chr(10) || chr(13)) <> '' GROUP BY text""",
+    "import_issues": "SELECT 'image' AS category, count(DISTINCT text)::BIGINT AS n FROM documents WHERE doc_id % 3 = 0",
+    "html_blocks": _HTML + " SELECT path, doc_id, printf('b%05d', ord) AS block_id, kind, sha256(text) AS text_sha256, located FROM r",
+    "html_script_stripped": _HTML + " SELECT path, sum(length(text))::BIGINT AS n_chars, count(*)::BIGINT AS n_blocks, 0::BIGINT AS n_hidden FROM r GROUP BY path",
+    "html_title_outline": _HTML + " SELECT doc_id, printf('b%05d', ord) AS block_id, substr(text, 1, 160) AS heading, 2::BIGINT AS level FROM r WHERE kind = 'heading'",
+    "html_list_text": _HTML + " SELECT path, count(*)::BIGINT AS n_items, sha256(string_agg(text, chr(10) ORDER BY ord)) AS text_sha256 FROM r WHERE kind = 'paragraph' GROUP BY path",
+    "markdown_blocks": rf"""
+WITH d AS (SELECT doc_id, doc_id::VARCHAR AS n, {_MARKED_SQL} AS w FROM documents),
+p AS (SELECT doc_id, unnest([{{'k': 'heading', 't': '# Doc ' || n, 'g': 2}}, {{'k': 'paragraph', 't': w, 'g': 2}}, {{'k': 'code', 't': '```' || chr(10) || w || chr(10) || '```', 'g': 2}}, {{'k': 'table', 't': '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ' || n || ' |', 'g': 2}},
+  {{'k': 'formula', 't': '$$x=' || n || '$$', 'g': 2}}, {{'k': 'paragraph', 't': '- one' || chr(10) || '- two', 'g': 2}}, {{'k': 'figure', 't': '![far](http://e.org/a.png)', 'g': 1}}]) AS b, unnest(range(1, 8)) AS i FROM d),
+s AS (SELECT *, coalesce(sum(length(b.t) + b.g) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at FROM p),
+whole AS (SELECT doc_id, substr(sha256(string_agg(b.t || repeat(chr(10), b.g), '' ORDER BY i)), 1, 24) AS id FROM p GROUP BY doc_id)
+SELECT doc_id::VARCHAR || '.md' AS path, id AS doc_id, printf('b%05d', i) AS block_id, b.k AS kind, sha256(b.t) AS text_sha256, start_at, (start_at + length(b.t) + 1)::BIGINT AS end_at FROM s JOIN whole USING (doc_id)""",
+    "tex_blocks": rf"""
+WITH d AS (SELECT doc_id, doc_id::VARCHAR AS n, {_MARKED_SQL} AS w FROM documents),
+f AS (SELECT *, substr(sha256('\documentclass{{article}} % gone' || chr(10) || '\title{{Doc \textbf{{' || n || '}}}}' || chr(10) || '\begin{{document}}' || chr(10) || '\section*{{Intro ' || n || '}}' || chr(10) || w || chr(10) || '\begin{{equation}}x=' || n
+  || '\end{{equation}}' || chr(10) || '\begin{{verbatim}}' || chr(10) || w || chr(10) || '\end{{verbatim}}' || chr(10) || '\begin{{odd}}kept\end{{odd}}' || chr(10) || '\end{{document}}' || chr(10)), 1, 24) AS id FROM d),
+p AS (SELECT n, id, unnest([{{'k': 'heading', 't': 'Doc ' || n}}, {{'k': 'heading', 't': 'Intro ' || n}}, {{'k': 'paragraph', 't': w}}, {{'k': 'formula', 't': 'x=' || n}}, {{'k': 'code', 't': w}}, {{'k': 'paragraph', 't': 'kept'}}]) AS b, unnest(range(1, 7)) AS i FROM f)
+SELECT n || '.tex' AS path, id AS doc_id, printf('b%05d', i) AS block_id, b.k AS kind, sha256(trim(b.t, ' ' || chr(10))) AS text_sha256 FROM p""",
     "html_partition": "SELECT true AS ok, count(DISTINCT sha256(html))::BIGINT AS n_documents FROM pages",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
