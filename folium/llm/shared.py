@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,21 +29,47 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
+_open: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/folium/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/folium/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators wrote to the shared folder within: results that are used must be written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        clear(spark, _open.pop())
 
 
-def write_table(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+def write_table(df: DataFrame, label: str, small: bool = False, scratch: list[str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, lost executors cost nothing before it.
 
     small: the table holds few or narrow rows, so as many files as the cluster runs tasks at once will do.
+    scratch: takes the path of a table that its operator removes once nothing reads it any more.
     """
     path = new_folder(df.sparkSession, label)
+    if scratch is not None:
+        scratch.append(path)
     (df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if small else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes tables that are used up."""
+    for path in scratch:
+        remove(spark, path)
+    scratch.clear()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path through Hadoop's file system, wherever the shared folder is."""
     jvm = spark._jvm
@@ -54,10 +82,13 @@ BATCH_ROWS = 1_000
 
 
 def lean_batches(df: DataFrame) -> DataFrame:
-    """The same rows; from now on the session hands Python small batches, unless it was told a size of its own."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
+    """The same rows; from now on the session hands Python small batches, unless somebody set the size, to whatever number.
+
+    Spark has no such setting for a single query. One that is set, on the session or when it was built, stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(name):
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
     return df
 
 
