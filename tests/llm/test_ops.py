@@ -193,16 +193,6 @@ def test_shards(spark):
     assert {r["text_crc32"] for r in rows if r["doc_id"] == 0} == {zlib.crc32(b"text 0")}
 
 
-def test_weights_move_documents_of_their_subtree_only(spark):
-    docs = spark.range(4000).withColumnRenamed("id", "doc_id")
-    before = by_id(sharding.shard_documents(docs, 40))
-    after = by_id(sharding.shard_documents(docs, 40, {7: 3.0, 9: 0.0}))
-    moved = [(before[i]["shard"], after[i]["shard"]) for i in before if before[i]["shard"] != after[i]["shard"]]
-    assert all(b == 7 or a == 9 for a, b in moved)
-    share = sum(r["shard"] == 7 for r in after.values()) / 4000
-    assert abs(share - 3 / 41) < 0.02 and not any(r["shard"] == 9 for r in after.values())
-
-
 # ---- 5 Quality ----
 
 
