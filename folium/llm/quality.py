@@ -13,7 +13,7 @@ of sparse features learns; the weights are a table of fixed size.
 
 Defined cases: a null or empty text is scored by the intercept alone; labels without a document, null
 labels and null ids are not learned from; documents with several labels count once per
-label; without a usable label all weights are 0 and every score is 0.5; an empty table gives no rows;
+label, and rows that share a labelled id each, within SAMPLE rows in all; a very long text is scored whole; without a usable label all weights are 0 and every score is 0.5; an empty table gives no rows;
 a column quality_score of the input is replaced, others stay.
 """
 
@@ -61,9 +61,10 @@ def features(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.n
         sums = {name: np.concatenate([[0], np.cumsum(flags[raw])]) for name, flags in (("upper", _UPPER), ("digit", _DIGIT), ("lower", _LOWER))}
         has = {name: total[ends] - total[starts] for name, total in sums.items()}
         length = np.minimum(ends - starts, 31)
+        row = np.repeat(np.arange(high - low), np.diff(bounds))
         again = np.zeros(len(words), dtype=np.int64)
-        again[1:] = words[1:] == words[:-1]
-        again[1:-1] |= words[2:] == words[:-2]
+        again[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
+        again[1:-1] |= (words[2:] == words[:-2]) & (row[2:] == row[:-2])
         shape = np.minimum(has["upper"], 2) + 3 * (has["lower"] > 0) + 6 * (has["digit"] > 0) + 12 * kind[starts]
         size = np.searchsorted([2, 4, 7, 11, 16, 24], length)
         shape = hashing.mix64((shape + 24 * (size + 7 * again)).astype(np.uint64) + _SIGNS)
@@ -109,8 +110,10 @@ def dot_products(texts: pa.Array, weights: np.ndarray, bits: int = BITS) -> np.n
     """The score of each text."""
     out = np.empty(len(texts))
     for low, high, bounds, at in features(texts, bits):
-        total = np.concatenate([[0.0], np.cumsum(weights[at])])
-        sums, counts = total[bounds[1:]] - total[bounds[:-1]], np.diff(bounds)
+        counts, sums = np.diff(bounds), np.zeros(high - low)
+        some = counts > 0
+        if some.any():  # each text's own sum, whatever texts stand beside it
+            sums[some] = np.add.reduceat(weights[at], bounds[:-1][some])
         out[low:high] = weights[-1] + GAIN * sums / np.maximum(counts, FEWEST)
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
@@ -120,6 +123,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = ["doc_id", "quality", "text_key"]
     for batch in batches:
         at_lists, x_lists = [], []
         for low, high, bounds, at in features(batch.column("text")):
@@ -127,7 +131,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own, counts = np.unique(at[bounds[row] : bounds[row + 1]], return_counts=True)
                 at_lists.append(own.astype(np.int32))
                 x_lists.append((GAIN * counts / max(FEWEST, counts.sum())).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(at_lists, pa.list_(pa.int32())), pa.array(x_lists, pa.list_(pa.float32()))], names=["doc_id", "quality", "at", "x"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(at_lists, pa.list_(pa.int32())), pa.array(x_lists, pa.list_(pa.float32()))], names=[*keys, "at", "x"])
 
 
 def _learner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +150,15 @@ def _learner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from at most `sample` labelled rows outside the held-out fold."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality")]
+    chosen = usable.orderBy(*by_hash).limit(sample)
+    text = F.coalesce(F.col("text"), F.lit(""))
     texts = lean_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE rows of two numbers
-    sparse = texts.select("doc_id", "quality", "text").mapInArrow(_sparse, "doc_id long, quality int, at array<int>, x array<float>")
-    found = sparse.repartition(1).mapInArrow(_learner, "weights binary").collect()  # one row of fixed size
+    keyed = texts.select("doc_id", "quality", F.xxhash64(text, F.length(text)).alias("text_key"), "text")
+    sparse = keyed.mapInArrow(_sparse, "doc_id long, quality int, text_key long, at array<int>, x array<float>")
+    # Rows may share an id, so the bound holds for rows again after the join.
+    bounded = sparse.orderBy(*by_hash, "text_key").limit(sample).drop("text_key")
+    found = bounded.coalesce(1).mapInArrow(_learner, "weights binary").collect()  # one row of fixed size
     return np.frombuffer(found[0][0]) if found else np.zeros((1 << BITS) + 1)
 
 
