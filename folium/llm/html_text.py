@@ -8,12 +8,15 @@ with blank lines where browsers put margins, lists get markers and indents, and
 are aligned in columns, spans included.
 
 Nothing is recursive but tables within cells, to MOST_TABLES levels; deeper tables are laid out as
-blocks. Every page is read in one pass, in time proportional to its length.
+blocks. Every page is read in one pass, in time proportional to its length. Cells are padded to the widest of
+their column that is no wider than WIDEST_PADDED; wider ones stick out, and a table of more than MOST_ALIGNED columns or
+WIDEST_TABLE characters is not padded at all, so the text is never much longer than the page.
 
 Defined cases: a null or empty html gives an empty text; text without any tag is one paragraph;
 an unclosed tag or comment at the end is dropped; an element never closed ends with the page;
 repeated rows are rendered each; an empty table gives no rows; extra columns are ignored; text outside
-the cells of a table comes before it, as in browsers, unless its row or row group is hidden.
+the cells of a table comes before it, as in browsers, unless its row or row group is hidden; of a drawing
+the text elements are shown, of a formula all but its annotations.
 """
 
 from __future__ import annotations
@@ -28,13 +31,17 @@ from pyspark.sql import DataFrame
 
 from folium.llm.shared import lean_batches
 
-MOST_TABLES = 20
-MOST_COLUMNS_SPANNED, MOST_ROWS_SPANNED = 1000, 1000
+#: Tables within tables that are aligned; each takes a few frames of the stack.
+MOST_TABLES = 100
+WIDEST_PADDED, WIDEST_TABLE, MOST_ALIGNED = 120, 2000, 200
+
+# The most that a cell may span in HTML.
+MOST_COLUMNS_SPANNED, MOST_ROWS_SPANNED = 1000, 65534
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-UNSEEN = frozenset("head script style noscript template title iframe object canvas audio video svg map datalist noembed noframes rp meta link base param source track col colgroup area embed".split())
+UNSEEN = frozenset("head script style noscript template title iframe object canvas audio video map datalist noembed noframes rp meta link base param source track col colgroup area embed annotation annotation-xml".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 BLOCKS = CLOSES_P | frozenset("html body caption tr td th thead tbody tfoot legend optgroup option".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre figure table hr fieldset".split())
@@ -56,8 +63,11 @@ IMPLIED = {
     "body": (("head",), ()),
 }
 #: An end tag of anything else does not close these.
-WALLS = frozenset("td th table caption html body".split())
+WALLS = frozenset("td th table caption html body foreignobject svg math".split())
 TABLE_TAGS = frozenset("table thead tbody tfoot tr td th caption".split())
+#: Elements of a drawing that are never drawn where they stand, and those that hold its text.
+UNDRAWN = frozenset("defs symbol clippath mask marker pattern metadata desc filter lineargradient radialgradient".split())
+DRAWN_TEXT = frozenset("text foreignobject".split())
 
 _TAG_END = re.compile(r""">|=[ \t\n\f\r]*["']""")
 _NAME = re.compile(r"[a-zA-Z][^ \t\n\f\r/>]*")
@@ -323,11 +333,28 @@ def _loose_text(table: Node, shown: bool) -> Iterator[tuple[str, bool]]:
             yield from ((c, _shown(part, shown)) for c in part.children if isinstance(c, str) and c.strip())
 
 
+def _drawn_texts(svg: Node, shown: bool) -> list[tuple[Node, bool]]:
+    """The text elements of a drawing in order, and whether each is shown."""
+    out: list[tuple[Node, bool]] = []
+    todo = [(svg, shown)]
+    while todo:
+        node, seen = todo.pop()
+        if node.tag in UNDRAWN or _unseen(node):
+            continue
+        seen = _shown(node, seen)
+        if node.tag in DRAWN_TEXT:
+            out.append((node, seen))
+        else:
+            todo += [(c, seen) for c in reversed(node.children) if isinstance(c, Node)]
+    return out
+
+
 def _table(table: Node, depth: int, pre: bool, shown: bool) -> list[str]:
     """A table as lines with aligned columns."""
     outside: list[str] = []
     grid: list[dict[int, tuple[list[str], int]]] = []
-    blocked: dict[int, int] = {}  # column: rows for which a cell above still covers it
+    blocked: dict[int, int] = {}  # column: the row from which no cell above covers it any more
+    number = 0
     for text, seen in _loose_text(table, shown):
         outside += render([text], depth + 1, pre, seen)
     for row, cells in _rows_of(table):
@@ -336,21 +363,20 @@ def _table(table: Node, depth: int, pre: bool, shown: bool) -> list[str]:
                 outside += render([row], depth + 1, pre, shown)
             continue
         line: dict[int, tuple[list[str], int]] = {}
-        covered = {c: k - 1 for c, k in blocked.items() if k > 1}
         column = 0
         for cell in cells:
             if _unseen(cell):
                 continue
-            while blocked.get(column, 0) > 0:
+            while blocked.get(column, 0) > number:
                 column += 1
             across = min(MOST_COLUMNS_SPANNED, max(1, _number(cell, "colspan", 1)))
             down = min(MOST_ROWS_SPANNED, max(1, _number(cell, "rowspan", 1)))
             inner = render(cell.children if cell.tag in ("td", "th") else [cell], depth + 1, pre, _shown(cell, shown))
             line[column] = (inner, across)
             if down > 1:
-                covered.update(dict.fromkeys(range(column, column + across), down - 1))
+                blocked.update(dict.fromkeys(range(column, column + across), number + down))
             column += across
-        blocked = covered
+        number += 1
         if any(inner for inner, _ in line.values()):
             grid.append(line)
     used = sorted({c for line in grid for c, (inner, _) in line.items() if inner})
@@ -359,12 +385,17 @@ def _table(table: Node, depth: int, pre: bool, shown: bool) -> list[str]:
     for line in grid:
         for c, (inner, across) in line.items():
             if c in place and (across == 1 or not any(c < other < c + across for other in used)):
-                widths[place[c]] = max(widths[place[c]], *[_width(x) for x in inner], 0)
+                widths[place[c]] = max([widths[place[c]], *[w for x in inner if (w := _width(x)) <= WIDEST_PADDED]])
     out = list(outside)
+    aligned = len(used) <= MOST_ALIGNED and sum(widths) <= WIDEST_TABLE
     for line in grid:
+        columns = used if aligned else [c for c in line if c in place]
         for k in range(max(len(inner) for inner, _ in line.values())):
+            if not aligned:
+                out.append(" | ".join(line[c][0][k] if k < len(line[c][0]) else "" for c in columns).rstrip(" "))
+                continue
             text, owed = "", 0
-            for i, c in enumerate(used):
+            for i, c in enumerate(columns):
                 inner, across = line.get(c, ([], 1))
                 piece = inner[k] if k < len(inner) else ""
                 over = max(0, _width(piece) - widths[i])
@@ -418,6 +449,10 @@ def render(nodes: list[Node | str], depth: int = 0, pre: bool = False, shown: bo
             out.block(2)
             out.breaks = 2
             continue
+        if tag == "svg":
+            for drawn, seen in reversed(_drawn_texts(node, shown)):
+                todo += [lambda: out.block(1), *[(c, pre, seen, None) for c in reversed(drawn.children)], lambda: out.block(1)]
+            continue
         if tag == "table" and depth < MOST_TABLES:
             out.block(2)
             out.rows(_table(node, depth, pre, shown))
