@@ -21,21 +21,19 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import contextlib
 import hashlib
 import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.shared import lean_batches, new_folder, write_table
+from folium.llm.store import Store
 
 MIN_BYTES = 1000
 #: Payload bytes after which a task begins another archive.
@@ -48,37 +46,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GZIP = 31  # zlib's window bits for a gzip header
 
 
-class Store:
-    """A folder by its URI, on a local or shared disk or whatever pyarrow reaches."""
-
-    def __init__(self, uri: str) -> None:
-        parts = urlsplit(uri)
-        if parts.scheme in ("", "file"):
-            self.files, self.root = fs.LocalFileSystem(), parts.path
-        else:
-            self.files, self.root = fs.FileSystem.from_uri(uri)
-        self.files.create_dir(self.root, recursive=True)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def create(self, name: str) -> BinaryIO:
-        return self.files.open_output_stream(self.path(name), compression=None)
-
-    def stream(self, name: str) -> BinaryIO:
-        return self.files.open_input_stream(self.path(name), compression=None)
-
-    def seekable(self, name: str) -> BinaryIO:
-        return self.files.open_input_file(self.path(name))
-
-    def rename(self, old: str, new: str) -> None:
-        self.files.move(self.path(old), self.path(new))
-
-    def drop(self, name: str) -> None:
-        with contextlib.suppress(FileNotFoundError):
-            self.files.delete_file(self.path(name))
-
-
 def one_line(text: str) -> str:
     """A header value: controls and line ends are percent-encoded."""
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in text)
@@ -121,7 +88,7 @@ def parse(raw: bytes) -> dict:
 
 
 def records_of(stream: BinaryIO) -> Iterator[bytes]:
-    """The records in one whole-file gzip stream, inflated once; memory holds one record and a chunk."""
+    """The records in one whole-file gzip stream, inflated once; memory holds one record and a chunk, however well it is packed."""
     inflate, held = zlib.decompressobj(_GZIP), bytearray()
     need = None
     while True:
@@ -133,10 +100,11 @@ def records_of(stream: BinaryIO) -> Iterator[bytes]:
             del held[:need]
             need = None
             continue
-        chunk = stream.read(CHUNK)
-        if not chunk:
+        chunk = inflate.unconsumed_tail or stream.read(CHUNK)
+        more = inflate.decompress(chunk, CHUNK) if chunk else inflate.flush()
+        if not chunk and not more:
             break
-        held += inflate.decompress(chunk)
+        held += more
     if held.strip():
         raise ValueError("the stream ends within a record")
 
