@@ -1,22 +1,26 @@
 """Operator 8, benchmark decontamination: an FM-index per training shard.
 
-The benchmark is the stated set of test phrases, taken in blocks of bounded size. A task cuts
-its documents into shards. Words outside the block's vocabulary become separators, and a run of
+The benchmark is the stated set of test phrases, taken in blocks of bounded size, each of which one task
+turns into phrases and writes to the shared folder. A task reads its documents once and cuts
+them into shards; it goes through the blocks, of which it holds one at a time. Words outside the block's vocabulary become separators, and a run of
 known words shorter than the shortest phrase, which cannot hold one, is left out. Over the rest
 the shard builds an FM-index: all phrases are searched backwards through wavelet-tree ranks, their
 rows are located by sampled suffix positions, and the occurrences merge into removal spans.
 
-With one block nothing is shuffled; with more, spans of the blocks meet by document.
+Hits of all blocks meet where the document is, so documents are never shuffled, and the number of blocks
+changes no result.
 
-Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no
-phrase; items with one id count as one, and a null id counts as an empty one; repeated rows are
+Defined cases: a null or wordless text has no words and no hits; a very long text is a shard of its own; a null or
+wordless item has no phrase; an item longer than a block is a block of its own; items with one id count as one, and a null id counts as an empty one; repeated rows are
 each searched; an empty documents or benchmark table gives no rows or no hits;
 columns n_words, spans and items of the input are replaced, others stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,12 +31,15 @@ from pyspark.sql import types as T
 
 from folium.llm import hashing
 from folium.llm.fm_index import FMIndex
-from folium.llm.shared import lean_batches
+from folium.llm.shared import lean_batches, new_folder
+from folium.llm.store import Store
 
 WINDOW = 10
-#: Bytes of benchmark text that a block holds, about; a block is broadcast.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that a block holds, about; its phrases take some ten times that.
+BLOCK_BYTES = 4 << 20
 SHARD_WORDS = 1 << 20
+#: Bytes of documents for which a task goes through the blocks once, about, where there are several.
+GROUP_BYTES = 32 << 20
 
 FOUND = T.StructType(
     [
@@ -74,7 +81,7 @@ def phrases_of(item_ids: list, texts: pa.Array, window: int = WINDOW) -> Phrases
     vocabulary = np.unique(np.concatenate([w.ravel() for group in found.values() for w, _ in group]))
     by_length = {}
     for n, group in found.items():
-        windows = np.searchsorted(vocabulary, np.concatenate([w for w, _ in group])) + 1
+        windows = (np.searchsorted(vocabulary, np.concatenate([w for w, _ in group])) + 1).astype(np.int32)
         items = np.concatenate([np.full(len(w), item) for w, item in group])
         phrases, which = np.unique(windows, axis=0, return_inverse=True)
         pairs = np.unique(np.stack([which.ravel(), items], axis=1), axis=0)
@@ -155,77 +162,104 @@ def _shards(texts: pa.Array, shard_words: int) -> Iterator[tuple[np.ndarray, np.
         yield np.concatenate(parts), np.concatenate(bounds)
 
 
-def find_in_texts(texts: pa.Array, phrases: Phrases | None, shard_words: int = SHARD_WORDS) -> list[pa.Array]:
-    """n_words, spans and items of each text; a span is a maximal range of hit words."""
-    n_words, spans, items = [], [], []
-    for words, bounds in _shards(texts, shard_words):
-        n_words.append(np.diff(bounds))
-        own_spans: list[list] = [[] for _ in range(len(bounds) - 1)]
-        own_items: list[list] = [[] for _ in range(len(bounds) - 1)]
-        if phrases is not None:
+def find_in_texts(texts: pa.Array, blocks: Iterable[Callable[[], Phrases]], shard_words: int = SHARD_WORDS) -> list[pa.Array]:
+    """n_words, spans and items of each text; a span is a maximal range of hit words. A block is loaded when its turn comes."""
+    shards = list(_shards(texts, shard_words))
+    hits = [np.zeros(len(words), dtype=bool) for words, _ in shards]
+    items: list[list[set[str]]] = [[set() for _ in range(len(bounds) - 1)] for _, bounds in shards]
+    for load in blocks:
+        phrases = load()
+        for k, (words, bounds) in enumerate(shards):
             hit, doc, item = search_shard(words, bounds, phrases)
-            if len(doc):
-                edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                for a, b in zip(begins, ends, strict=True):  # runs of hits of neighbouring documents touch
-                    k = int(np.searchsorted(bounds, a, side="right")) - 1
-                    while a < b:
-                        stop = min(b, bounds[k + 1])
-                        if stop > a:
-                            own_spans[k].append({"begin": int(a - bounds[k]), "end": int(stop - bounds[k])})
-                        a, k = stop, k + 1
-                for k, i in zip(doc, item, strict=True):
-                    own_items[k].append(phrases.item_names[i])
-        spans += own_spans
-        items += own_items
-    counts = np.concatenate(n_words) if n_words else np.zeros(0, dtype=np.int64)
-    return [pa.array(x, t) for x, t in zip((counts, spans, items), _FOUND_TYPES, strict=True)]
-
-
-def _finder(phrases: Phrases | None, keep: list[str]) -> Callable:
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hits[k] |= hit
+            for d, i in zip(doc.tolist(), item.tolist(), strict=True):
+                items[k][d].add(phrases.item_names[i])
+    counts = np.concatenate([np.diff(bounds) for _, bounds in shards]) if shards else np.zeros(0, dtype=np.int64)
+    spans = [s for hit, (_, bounds) in zip(hits, shards, strict=True) for s in _spans(hit, bounds)]
+    return [pa.array(x, t) for x, t in zip((counts, spans, [sorted(x) for own in items for x in own]), _FOUND_TYPES, strict=True)]
+
+
+def _spans(hit: np.ndarray, bounds: np.ndarray) -> list[list[dict[str, int]]]:
+    """The ranges of hit words of each document in a shard."""
+    out: list[list[dict[str, int]]] = [[] for _ in range(len(bounds) - 1)]
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):  # runs of neighbouring documents touch
+        k = int(np.searchsorted(bounds, a, side="right")) - 1
+        while a < b:
+            stop = min(b, bounds[k + 1])
+            if stop > a:
+                out[k].append({"begin": int(a - bounds[k]), "end": int(stop - bounds[k])})
+            a, k = stop, k + 1
+    return out
+
+
+_loaded: dict[str, Phrases] = {}
+
+
+def _loader(folder: str, name: str) -> Callable[[], Phrases]:
+    """Reads a block; a worker keeps the last one."""
+
+    def load() -> Phrases:
+        if name not in _loaded:
+            _loaded.clear()
+            with Store(folder).stream(name) as stream:
+                _loaded[name] = Phrases(*pickle.loads(stream.read()))
+        return _loaded[name]
+
+    return load
+
+
+def _finder(folder: str, names: list[str], keep: list[str], group_bytes: int) -> Callable:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        group, held = [], 0
         for batch in batches:
-            found = find_in_texts(batch.column("text"), phrases)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + found, names=keep + FOUND.names)
+            group.append(batch)
+            held += batch.column("text").nbytes
+            if len(names) < 2 or held >= group_bytes:
+                yield group
+                group, held = [], 0
+        if group:
+            yield group
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches):
+            texts = pa.concat_arrays([batch.column("text") for batch in group])
+            found = find_in_texts(texts, [_loader(folder, name) for name in names])
+            at = 0
+            for batch in group:
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [x.slice(at, batch.num_rows) for x in found], names=keep + FOUND.names)
+                at += batch.num_rows
 
     return find
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Phrases | None]:
-    rows = benchmark.select("item_id", "text")
+def _write_blocks(benchmark: DataFrame, folder: str, block_bytes: int) -> list[str]:
+    """Writes each block's phrases as a file and returns the files' names; the driver sees no text."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
+
+    def build(block: pa.Table) -> pa.Table:
+        phrases = phrases_of(block["item_id"].to_pylist(), block["text"].combine_chunks(), WINDOW)
+        if phrases is None:
+            return pa.table({"name": pa.array([], pa.string())})
+        name = f"block-{uuid.uuid4().hex}.pickle"  # another attempt writes another file
+        with Store(folder).create(name) as out:
+            out.write(pickle.dumps((phrases.vocabulary, phrases.by_length, phrases.item_names), protocol=5))
+        return pa.table({"name": [name]})
+
     dealt = rows.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    for block in range(n):
-        got = dealt.where(F.col("_block") == block).select("item_id", "text").toArrow()
-        yield phrases_of(got["item_id"].to_pylist(), got["text"].combine_chunks(), WINDOW)
+    return sorted(row["name"] for row in dealt.groupBy("_block").applyInArrow(build, "name string").collect())  # a name for each block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The kept columns of every document with n_words, spans (of words, half-open) and items (sorted as strings)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in FOUND.names]
     schema = T.StructType([docs.schema[c] for c in keep] + FOUND.fields)
-    blocks = list(_blocks(benchmark, block_bytes))
-    source = lean_batches(docs if "text" in keep else docs.select(*keep, "text"))
-    parts = [source.mapInArrow(_finder(phrases, keep), schema) for phrases in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    key = F.struct(*[F.col(c) for c in keep])
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    met = every.select(F.xxhash64(F.to_json(key)).alias("_key"), *keep, *FOUND.names)
-    met = met.groupBy("_key", *keep).agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("_rows"))
-    met = met.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
-
-    def merge(done, span):
-        touches = (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= span["begin"])
-        last = F.element_at(done, -1)
-        grown = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], span["end"]).alias("end"))
-        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(span)))
-
-    none = F.array().cast(FOUND["spans"].dataType)
-    return met.withColumn("spans", F.aggregate("spans", none, merge)).select(*keep, *FOUND.names)
+    folder = new_folder(docs.sparkSession, "benchmark")
+    names = _write_blocks(benchmark, folder, block_bytes)
+    source = lean_batches(docs).select(*dict.fromkeys([*keep, "text"]))
+    return source.mapInArrow(_finder(folder, names, keep, group_bytes), schema)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
