@@ -7,13 +7,17 @@ evaluated in order of their bounds until the k-th best score exceeds every bound
 The bounds have a margin for rounding and scores are exact integers, so results do not depend
 on the pivots, which a bounded number of rows supplies.
 
-The queries are a stated set; blocks of queries meet shards of rows, both of bounded size, and
-the shards' best are merged.
+The queries are a stated set. They are written once, with a floor for each: its k-th best score among
+the sampled rows, below which no row of any shard is evaluated. Every row then goes to one shard of bounded
+size and stays there; the shard's task streams the written queries past it, a block at a time, and only
+the best of each shard and query are shuffled. So a row is moved once, however many queries there are, and the
+queries are read once for each shard.
 
 Defined cases: a vector that is null, empty or holds null or non-finite components takes no
 part, neither as a query nor as a row; vectors only meet those of their own length; repeated
-rows are rows of their own, but no query meets a row with its own id; a null id takes no part;
-an empty table gives no rows; scores outside 64 bits become the nearest 64-bit number.
+rows are rows of their own, but no query meets a row with its own id; a null id takes no part; equal scores
+go to the smaller vec_id, and repeated rows with one id are all in the result; columns but vec_id and embedding
+are ignored; an empty table gives no rows; scores outside 64 bits become the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +39,9 @@ QUERY_STEP = 50
 PIVOTS = 32
 #: Rows, of the smallest ids by hash, from which pivots are chosen.
 PIVOT_SAMPLE = 2048
-SHARD_ROWS = 16_384
+#: Bytes of vectors and distances that a shard holds, about.
+SHARD_BYTES = 64 << 20
+#: Queries that are held beside a shard at a time.
 QUERY_ROWS = 2_048
 FIRST_LOOK = 64
 
@@ -77,10 +84,8 @@ def exact_scores(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in found], dtype=np.int64)
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, ids: np.ndarray, rows: np.ndarray, far: np.ndarray, top: int) -> list[tuple[int, int, int]]:
-    """(query, row, score) of the best rows of a shard for each query, by elimination."""
-    order = np.argsort(ids, kind="stable")
-    ids, rows, far = ids[order], rows[order], far[order]
+def search(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, floors: np.ndarray, ids: np.ndarray, rows: np.ndarray, far: np.ndarray, top: int) -> list[tuple[int, int, int]]:
+    """(query, row, score) of the best rows of a shard for each query, by elimination; rows sure to score below a query's floor are left out."""
     norms, q_norms = (rows**2).sum(axis=1), (q**2).sum(axis=1)
     # Slack for the rounding of norms and square roots, relative to the largest values there are.
     scale = float(max(norms.max(initial=0), q_norms.max(initial=0), (far**2).max(initial=0), (q_far**2).max(initial=0)))
@@ -89,7 +94,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, ids: np.ndarray,
     for k in range(len(q)):
         bound = np.abs(far - q_far[k]).max(axis=1) if far.shape[1] else np.zeros(len(rows))
         upper = (q_norms[k] + norms - bound**2) / 2 + slack
-        upper[ids == q_ids[k]] = -np.inf
+        upper[(ids == q_ids[k]) | (upper < floors[k])] = -np.inf
         look, done, best = FIRST_LOOK, 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
         left = int(np.isfinite(upper).sum())
         ranked = np.argpartition(-upper, look)[: look + 1] if left > look else np.argsort(-upper, kind="stable")[:left]
@@ -116,8 +121,47 @@ def search(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, ids: np.ndarray,
     return out
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64) if len(column) else np.zeros((0, 0))
+def floors_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, top: int) -> np.ndarray:
+    """For each query a score that at least `top` of some rows reach; -inf where there are not as many."""
+    scores = q @ rows.T
+    scores[q_ids[:, None] == ids[None, :]] = -np.inf
+    if len(rows) < top:
+        return np.full(len(q), -np.inf)
+    best = np.partition(scores, len(rows) - top, axis=1)[:, len(rows) - top]
+    # Room for the rounding of scores beyond 2^53.
+    return best - 1e-9 * np.abs(best) - 1.0
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return batch.column("vec_id").to_numpy(), _matrix(batch.column("x")), _matrix(batch.column("far"))
+
+
+def _streamer(files: list[str], top: int, query_rows: int):
+    """Searches a task's rows for all queries in the files, a block of them at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_columns(b) for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, rows, far = (np.concatenate([h[k] for h in held]) for k in range(3))
+        order = np.argsort(ids, kind="stable")
+        ids, rows, far = ids[order], rows[order], far[order]
+        for file in files:
+            system, path = fs.FileSystem.from_uri(file)
+            with system.open_input_file(path) as source:
+                for block in pq.ParquetFile(source).iter_batches(batch_size=query_rows, columns=["vec_id", "x", "far", "floor"]):
+                    if not block.num_rows:
+                        continue
+                    found = search(*_columns(block), block.column("floor").to_numpy(), ids, rows, far, top)
+                    columns = list(zip(*found, strict=True)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def top_k(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
@@ -125,35 +169,33 @@ def top_k(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     spark = vectors.sparkSession
     data = write_table(usable(vectors), "vectors")
     sizes = data.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("nq")).collect()  # one row per vector length
-    schema = "query_id long, vec_id long, score long"
     parts = []
     for dim, n, nq in sizes:
         if not nq:
             continue
         own = data.where(F.size("x") == dim)
-        sample = own.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(PIVOT_SAMPLE).select("x").toPandas()
-        pivots = choose_pivots(_matrix(sample["x"]))
+        sample = own.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(PIVOT_SAMPLE).toArrow().combine_chunks()
+        sample_ids, sample_rows = sample["vec_id"].to_numpy(), _matrix(sample["x"].combine_chunks())
+        pivots = choose_pivots(sample_rows)
 
         def with_distances(batches: Iterator[pa.RecordBatch], pivots=pivots) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                far = distances(flat, pivots) if batch.num_rows else np.zeros((0, len(pivots)))
-                column = pa.array(list(far), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "far"])
-
-        pivot_table = write_table(own.mapInArrow(with_distances, "vec_id long, x array<double>, far array<double>"), "pivot-table")
-        shards, blocks = -(-n // SHARD_ROWS), -(-nq // QUERY_ROWS)
-        deal = F.xxhash64("vec_id", F.lit(11))
-        rows = pivot_table.withColumn("shard", F.pmod(deal, F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        queries = pivot_table.where(is_query).withColumn("block", F.pmod(deal, F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-        def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            found = []
-            if len(q) and len(r):
-                found = search(q["vec_id"].to_numpy(), _matrix(q["x"]), _matrix(q["far"]), r["vec_id"].to_numpy(), _matrix(r["x"]), _matrix(r["far"]), top)
-            return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-        parts.append(queries.groupBy("shard", "block").cogroup(rows.groupBy("shard", "block")).applyInPandas(meet, schema))
+                far = distances(_matrix(batch.column("x")), pivots) if batch.num_rows else np.zeros((0, len(pivots)))
+                column = pa.FixedSizeListArray.from_arrays(pa.array(far.ravel()), len(pivots)).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), column], names=["vec_id", "x", "far"])
+
+        def with_floors(batches: Iterator[pa.RecordBatch], ids=sample_ids, rows=sample_rows) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                floors = floors_of(batch.column("vec_id").to_numpy(), _matrix(batch.column("x")), ids, rows, top) if batch.num_rows else []
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.float64())], names=[*batch.schema.names, "floor"])
+
+        schema = "vec_id long, x array<double>, far array<double>"
+        pivot_table = write_table(own.mapInArrow(with_distances, schema), "pivot-table")
+        queries = write_table(pivot_table.where(is_query).mapInArrow(with_floors, schema + ", floor double"), "queries", small=True)
+        shards = -(-n * 8 * (dim + len(pivots)) // SHARD_BYTES)
+        shards = max(shards, min(spark.sparkContext.defaultParallelism, n // 1024 + 1))
+        rows = pivot_table.repartition(shards, "vec_id")
+        parts.append(rows.mapInArrow(_streamer(queries.inputFiles(), top, QUERY_ROWS), "query_id long, vec_id long, score long"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]

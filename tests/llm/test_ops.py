@@ -364,7 +364,7 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(i, vectors_i) for i, vectors_i in ((400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] + [0.0] * 7), (404, []), (450, [1.0, 2.0]), (451, [2.0, 2.0]), (None, [1.0] * 8))]
     vectors += [(500 + i, [0.5] * 8) for i in range(60)] + [(700, [0.5] * 8), (700, [0.5] * 8)]
-    monkeypatch.setattr(topk_search, "SHARD_ROWS", 97)
+    monkeypatch.setattr(topk_search, "SHARD_BYTES", 97 * 8 * 40)
     monkeypatch.setattr(topk_search, "QUERY_ROWS", 3)
     found = topk_search.op9(table(spark, vectors, "vec_id long, embedding array<double>")).collect()
     good = [(i, [math.floor(256 * v) for v in x]) for i, x in vectors if i is not None and x and all(v is not None and math.isfinite(v) for v in x)]
