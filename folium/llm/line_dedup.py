@@ -8,8 +8,9 @@ it. What stays is reassembled by position.
 Only hashes and positions are shuffled by key, and the join that sends decisions back to lines
 is one that Spark splits where a line is very common; texts move once, by document.
 
-Defined cases: a null or empty text is one empty line; a null doc_id is a document of its own
-that comes after all ids; rows sharing a doc_id are one document for counting, and each such
+Defined cases: a null or empty text is one empty line; a very long text is split and put together once,
+in time proportional to its lines; null ids are together one document, which comes after all others and for
+which the id 2^63-1 stands; rows sharing a doc_id are one document for counting, and each such
 row loses or keeps its own lines; an empty table gives no rows; columns
 n_lines and n_dropped of the input are replaced, other columns stay.
 """
@@ -57,12 +58,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     marked = docs.select("*", *_row_key())
     marked = marked.join(dropped, (F.col("_lines_id") == F.col("_lines_did")) & (F.col("_lines_row") == F.col("_lines_drow")), "left")
-    lines = lines_of(F.col("text"))
-    marked = marked.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_lines_drop"), F.lit(0)).cast("long"))
-    marked = marked.withColumn("n_dropped", F.when(F.col("_lines_drop").isNull(), F.lit(0)).otherwise(F.size("_lines_drop")).cast("long"))
+    # A text is split once: its lines are bound to `lines`, from which what stays is taken by position.
+    marked = marked.withColumn("_lines_left", F.transform(F.array(lines_of(F.col("text"))), _reassembled)[0])
+    marked = marked.withColumn("n_lines", F.col("_lines_left.n")).withColumn("n_dropped", F.coalesce(F.array_size("_lines_drop"), F.lit(0)).cast("long"))
+    text = F.coalesce(F.col("_lines_left.text"), F.col("text"), F.lit(""))
+    return marked.withColumn("text", text).drop("_lines_id", "_lines_row", "_lines_did", "_lines_drow", "_lines_drop", "_lines_left")
+
+
+def _reassembled(lines: Column) -> Column:
+    """Number of the lines and, where some are dropped, the text of those that stay."""
     left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("_lines_drop", lambda p: p + 1))
-    text = F.when(F.col("n_dropped") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda p: F.element_at(lines, p)), "\n"))
-    return marked.withColumn("text", text).drop("_lines_id", "_lines_row", "_lines_did", "_lines_drow", "_lines_drop")
+    text = F.array_join(F.transform(left, lambda p: F.element_at(lines, p)), "\n")
+    return F.struct(F.size(lines).cast("long").alias("n"), F.when(F.col("_lines_drop").isNotNull(), text).alias("text"))
 
 
 def op2(docs: DataFrame) -> DataFrame:
