@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folium.functions import text as X
-from folium.operators import ledger, views
+from folium.operators import ledger, mutation, regions, views
 from folium.sources import files
 from folium.streaming import ingest
 
@@ -90,11 +90,46 @@ def html_partition(spark, sf):
     return found.groupBy("ok").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def files_supported(spark, sf):
+    """Documents are files of kinds that importers know and do not know, in any case."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".txt", ".MD", ".doc", "", ".TeX", ".html.bak")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    paths = _t(spark, sf, "documents").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), suffix).alias("path"))
+    return files.supported(paths)
+
+
+def known_files_left_out(spark, sf):
+    """Documents of an even number were imported before; what is imported now are contents that none of them has."""
+    docs = _t(spark, sf, "documents")
+    known = docs.where("doc_id % 2 = 0").select(ledger.content_id(F.col("text")).alias("doc_id"))
+    rows = files.import_rows(_as_files(docs, "doc_id", F.col("text"), ".txt"), known)
+    return rows.select("doc_id").distinct()
+
+
+def assets_served(spark, sf):
+    """Requests for the images of orders: those that a line item or the order's page names are served."""
+    items = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_tax") > 0.04, F.concat(F.lit("p"), F.col("l_linenumber").cast("string"), F.lit(".png"))).alias("asset"))
+    pages = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "page.png").alias("asset"))
+    requests = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(F.lit("p1.png"), F.lit("page.png"), F.lit("../x"))).alias("asset"))
+    return regions.served_assets(requests, items, pages)
+
+
+def documents_listed(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.lit("translate").alias("stage"), (F.col("doc_id") % 9).alias("revision"))
+    return views.listing(docs)
+
+
+def rows_upserted(spark, sf):
+    """Suppliers of an even number change their balance, every tenth goes, and customers of small numbers come in."""
+    table = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"))
+    changes = table.where("key % 2 = 0").withColumn("value", F.lit(0.0)).unionByName(_t(spark, sf, "customer").where("c_custkey <= 50").select((F.col("c_custkey") + 1_000_000).alias("key"), F.col("c_acctbal").alias("value")))
+    return mutation.upsert(table, changes, ["key"], deleted=F.col("key") % 10 == 0)
+
+
 def event_windows(spark, sf):
     return ingest.event_windows(_t(spark, sf, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
-QUERIES = {f.__name__: f for f in (html_blocks, markdown_blocks, tex_blocks, text_import, import_issues, html_script_stripped, html_title_outline, html_list_text, html_partition, event_windows)}
+QUERIES = {f.__name__: f for f in (html_blocks, markdown_blocks, tex_blocks, text_import, import_issues, html_script_stripped, html_title_outline, html_list_text, html_partition, files_supported, known_files_left_out, assets_served, documents_listed, rows_upserted, event_windows)}
 
 _CLEAN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '</?p>|<br>|</?li>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"""
 #: The pages' blocks: the navigation, whose list is no block, the advertisement, the heading, an article whose first paragraph never closes, the footer.
@@ -130,6 +165,15 @@ f AS (SELECT *, substr(sha256('\documentclass{{article}} % gone' || chr(10) || '
   || '\end{{equation}}' || chr(10) || '\begin{{verbatim}}' || chr(10) || w || chr(10) || '\end{{verbatim}}' || chr(10) || '\begin{{odd}}kept\end{{odd}}' || chr(10) || '\end{{document}}' || chr(10)), 1, 24) AS id FROM d),
 p AS (SELECT n, id, unnest([{{'k': 'heading', 't': 'Doc ' || n}}, {{'k': 'heading', 't': 'Intro ' || n}}, {{'k': 'paragraph', 't': w}}, {{'k': 'formula', 't': 'x=' || n}}, {{'k': 'code', 't': w}}, {{'k': 'paragraph', 't': 'kept'}}]) AS b, unnest(range(1, 7)) AS i FROM f)
 SELECT n || '.tex' AS path, id AS doc_id, printf('b%05d', i) AS block_id, b.k AS kind, sha256(trim(b.t, ' ' || chr(10))) AS text_sha256 FROM p""",
+    "files_supported": "SELECT 'in/' || doc_id || ['.txt', '.MD', '.doc', '', '.TeX', '.html.bak'][doc_id % 6 + 1] AS path FROM documents WHERE doc_id % 6 IN (0, 1, 4)",
+    "known_files_left_out": "SELECT DISTINCT substr(sha256(text), 1, 24) AS doc_id FROM documents WHERE trim(text, ' ' || chr(10) || chr(13)) <> '' AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "assets_served": """
+WITH a AS (SELECT DISTINCT l_orderkey AS doc_id, 'p' || l_linenumber || '.png' AS asset FROM lineitem WHERE l_tax > 0.04 UNION SELECT o_orderkey, 'page.png' FROM orders WHERE o_orderstatus = 'F')
+SELECT o_orderkey AS doc_id, asset FROM orders JOIN a ON o_orderkey = doc_id WHERE asset IN ('p1.png', 'page.png')""",
+    "documents_listed": "SELECT doc_id, source AS title, 'translate' AS stage, doc_id % 9 AS revision FROM documents",
+    "rows_upserted": """
+SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN 0.0 ELSE s_acctbal END::DOUBLE AS value FROM supplier WHERE s_suppkey % 10 <> 0
+UNION ALL SELECT c_custkey + 1000000, c_acctbal FROM customer WHERE c_custkey <= 50 AND c_custkey % 10 <> 0""",
     "html_partition": "SELECT true AS ok, count(DISTINCT sha256(html))::BIGINT AS n_documents FROM pages",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
