@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folium.functions import text as X
 from folium.operators import ledger, mutation, regions, views
@@ -37,25 +42,69 @@ def html_blocks(spark, sf):
     return _pages(spark, sf).join(html, "path").select("path", "doc_id", "block_id", "kind", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), there.alias("located"))
 
 
-#: A text of words and stops, its lines marked, so that only what is put around it has a meaning in Markdown or TeX.
-_BARE = F.regexp_replace("text", r"[^\p{L}\p{N} .,\n]", "")
-_MARKED = F.concat(F.lit("w "), F.regexp_replace(_BARE, r"\n", "\nw "))
+def _marked():
+    """A text of words and stops, its lines marked, so that only what is put around it has a meaning in Markdown, TeX or Word."""
+    return F.concat(F.lit("w "), F.regexp_replace(F.regexp_replace("text", r"[^\p{L}\p{N} .,\n]", ""), r"\n", "\nw "))
 
 
 def markdown_blocks(spark, sf):
     """Documents between a heading, a fence, a table, a formula, a list and an image."""
     number = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("# Doc "), number, F.lit("\n\n"), _MARKED, F.lit("\n\n```\n"), _MARKED, F.lit("\n```\n\n| a | b |\n|---|---|\n| 1 | "), number, F.lit(" |\n\n$$x="), number, F.lit("$$\n\n- one\n- two\n\n![far](http://e.org/a.png)\n"))
+    text = F.concat(F.lit("# Doc "), number, F.lit("\n\n"), _marked(), F.lit("\n\n```\n"), _marked(), F.lit("\n```\n\n| a | b |\n|---|---|\n| 1 | "), number, F.lit(" |\n\n$$x="), number, F.lit("$$\n\n- one\n- two\n\n![far](http://e.org/a.png)\n"))
     return _result(files.fragments_of(_import(_t(spark, sf, "documents"), "doc_id", text, ".md")))
 
 
 def tex_blocks(spark, sf):
     """Documents between a title, a section, an equation, a verbatim and an environment that is not known."""
     number = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("\\documentclass{article} % gone\n\\title{Doc \\textbf{"), number, F.lit("}}\n\\begin{document}\n\\section*{Intro "), number, F.lit("}\n"), _MARKED, F.lit("\n\\begin{equation}x="), number, F.lit("\\end{equation}\n\\begin{verbatim}\n"), _MARKED, F.lit("\n\\end{verbatim}\n\\begin{odd}kept\\end{odd}\n\\end{document}\n"))
+    text = F.concat(F.lit("\\documentclass{article} % gone\n\\title{Doc \\textbf{"), number, F.lit("}}\n\\begin{document}\n\\section*{Intro "), number, F.lit("}\n"), _marked(), F.lit("\n\\begin{equation}x="), number, F.lit("\\end{equation}\n\\begin{verbatim}\n"), _marked(), F.lit("\n\\end{verbatim}\n\\begin{odd}kept\\end{odd}\n\\end{document}\n"))
     return _result(files.fragments_of(_import(_t(spark, sf, "documents"), "doc_id", text, ".tex"))).drop("start_at", "end_at")
 
 
+_W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_RELATED = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+@F.pandas_udf(T.BinaryType())
+def _as_docx(text: pd.Series, number: pd.Series) -> pd.Series:
+    """Word files with a heading, a paragraph for each line, a raised word, a hidden one, an image 40 by 30, cut at the left, and a table."""
+
+    def one(lines: list[str], n: int) -> bytes:
+        run = lambda x, more="": f'<w:r><w:rPr>{more}</w:rPr><w:t xml:space="preserve">{x}</w:t></w:r>'
+        paragraphs = "".join(f"<w:p>{run(x)}</w:p>" for x in lines)
+        image = f'<w:p><w:r><w:drawing><a:blipFill xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="{_RELATED}"><a:blip r:embed="r1"/><a:srcRect l="25000"/></a:blipFill></w:drawing></w:r></w:p>'
+        cell = lambda x: f"<w:tc><w:p>{run(x)}</w:p></w:tc>"
+        odd = f"<w:p>{run('x')}{run('2', '<w:vertAlign w:val=\"superscript\"/>')}{run('gone', '<w:vanish/>')}</w:p>"
+        body = f"<w:document xmlns:w='{_W}'><w:body><w:p><w:pPr><w:pStyle w:val='Heading1'/></w:pPr>{run(f'Doc {n}')}</w:p>{paragraphs}{odd}{image}<w:tbl><w:tr>{cell('a')}{cell(n)}</w:tr></w:tbl></w:body></w:document>"
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as made:
+            held = {"word/document.xml": body.encode(), "word/_rels/document.xml.rels": b'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="media/i.png"/></Relationships>', "word/media/i.png": b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\0\x28\0\0\0\x1e"}
+            for name, content in held.items():
+                made.writestr(zipfile.ZipInfo(name), content)
+        return out.getvalue()
+
+    return pd.Series([one(t.split("\n"), n) for t, n in zip(text, number, strict=True)])
+
+
+def _word_files(spark, sf):
+    return _t(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), _as_docx(_marked(), F.col("doc_id")).alias("content"))
+
+
+def docx_blocks(spark, sf):
+    """Blocks of Word documents; a table of their numbers makes all of them different."""
+    rows = files.fragments_of(files.import_rows(_word_files(spark, sf)))
+    return rows.select("path", "block_id", "kind", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.col("start").cast("long").alias("start_at"))
+
+
+def docx_images(spark, sf):
+    """Images of Word documents with the box that is left of them."""
+    found = files.images_of_documents(_word_files(spark, sf))
+    cut = [F.coalesce(f"cut_{side}", F.lit(0)) for side in ("left", "top", "right", "bottom")]
+    box = regions.source_crop(F.col("width"), F.col("height"), *cut)
+    counted = found.groupBy("block_id", "asset", F.octet_length("content").cast("long").alias("n_bytes"), box.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("block_id", "asset", "n_bytes", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")], "n")
+
+
 def text_import(spark, sf):
     return _result(files.fragments_of(_import(_t(spark, sf, "documents"), "doc_id", F.col("text"), ".txt")))
 
@@ -129,7 +178,7 @@ def event_windows(spark, sf):
     return ingest.event_windows(_t(spark, sf, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
-QUERIES = {f.__name__: f for f in (html_blocks, markdown_blocks, tex_blocks, text_import, import_issues, html_script_stripped, html_title_outline, html_list_text, html_partition, files_supported, known_files_left_out, assets_served, documents_listed, rows_upserted, event_windows)}
+QUERIES = {f.__name__: f for f in (html_blocks, markdown_blocks, tex_blocks, docx_blocks, docx_images, text_import, import_issues, html_script_stripped, html_title_outline, html_list_text, html_partition, files_supported, known_files_left_out, assets_served, documents_listed, rows_upserted, event_windows)}
 
 _CLEAN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '</?p>|<br>|</?li>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"""
 #: The pages' blocks: the navigation, whose list is no block, the advertisement, the heading, an article whose first paragraph never closes, the footer.
@@ -165,6 +214,14 @@ f AS (SELECT *, substr(sha256('\documentclass{{article}} % gone' || chr(10) || '
   || '\end{{equation}}' || chr(10) || '\begin{{verbatim}}' || chr(10) || w || chr(10) || '\end{{verbatim}}' || chr(10) || '\begin{{odd}}kept\end{{odd}}' || chr(10) || '\end{{document}}' || chr(10)), 1, 24) AS id FROM d),
 p AS (SELECT n, id, unnest([{{'k': 'heading', 't': 'Doc ' || n}}, {{'k': 'heading', 't': 'Intro ' || n}}, {{'k': 'paragraph', 't': w}}, {{'k': 'formula', 't': 'x=' || n}}, {{'k': 'code', 't': w}}, {{'k': 'paragraph', 't': 'kept'}}]) AS b, unnest(range(1, 7)) AS i FROM f)
 SELECT n || '.tex' AS path, id AS doc_id, printf('b%05d', i) AS block_id, b.k AS kind, sha256(trim(b.t, ' ' || chr(10))) AS text_sha256 FROM p""",
+    "docx_blocks": rf"""
+WITH d AS (SELECT doc_id, string_split({_MARKED_SQL}, chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, list_concat(list_concat(['Doc ' || doc_id], l), ['x²', '[image]', 'a | ' || doc_id]) AS t, len(l) AS n FROM d),
+u AS (SELECT doc_id, n, unnest(t) AS t, unnest(range(1, len(t) + 1)) AS i FROM p)
+SELECT doc_id || '.docx' AS path, printf('b%05d', i) AS block_id, CASE WHEN i = 1 THEN 'heading' WHEN i = n + 3 THEN 'figure' WHEN i = n + 4 THEN 'table' ELSE 'paragraph' END AS kind, sha256(t) AS text_sha256,
+       coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at FROM u""",
+    "docx_images": f"""
+SELECT printf('b%05d', n) AS block_id, printf('image-b%05d.png', n) AS asset, 24::BIGINT AS n_bytes, 10::BIGINT AS x0, 0::BIGINT AS y0, 40::BIGINT AS x1, 30::BIGINT AS y1, count(*)::BIGINT AS n FROM (SELECT len(string_split(text, chr(10))) + 3 AS n FROM documents) GROUP BY 1, 2""",
     "files_supported": "SELECT 'in/' || doc_id || ['.txt', '.MD', '.doc', '', '.TeX', '.html.bak'][doc_id % 6 + 1] AS path FROM documents WHERE doc_id % 6 IN (0, 1, 4)",
     "known_files_left_out": "SELECT DISTINCT substr(sha256(text), 1, 24) AS doc_id FROM documents WHERE trim(text, ' ' || chr(10) || chr(13)) <> '' AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
     "assets_served": """

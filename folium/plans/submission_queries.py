@@ -28,8 +28,12 @@ def _atoms(spark, sf):
     return _lines(spark, sf).select("doc_id", F.col("source_ids")[0].alias("atom_id"), "text", "ord")
 
 
-_WHOLE = F.array(F.struct(F.lit(0).alias("s"), F.length("text").alias("e")))
-_NO_TEXT = F.lit(None).cast("string")
+def _whole():
+    return F.array(F.struct(F.lit(0).alias("s"), F.length("text").alias("e")))
+
+
+def _no_text():
+    return F.lit(None).cast("string")
 
 
 def validate_whole(spark, sf):
@@ -41,7 +45,7 @@ def validate_whole(spark, sf):
     sizes = _t(spark, sf, "documents").select("doc_id", last.alias("_lines"))
     blocks = lines.join(sizes, "doc_id").where((F.col("doc_id") % 7 != 0) | (F.col("ord") < F.col("_lines")))
     twice = (F.col("doc_id") % 11 == 0) & (F.col("ord") == 2)
-    blocks = blocks.select("doc_id", F.when(twice, "b00001").otherwise(F.col("block_id")).alias("block_id"), "kind", "text", "source_ids", F.when(F.col("quality").isNotNull(), F.col("text")).alias("target"), "structure_note", _NO_TEXT.alias("difference_explanation"), _NO_TEXT.alias("duplicate_explanation"), F.when(F.col("quality") == 1, "h").alias("reviewed_hash"), F.lit("h").alias("target_hash"))
+    blocks = blocks.select("doc_id", F.when(twice, "b00001").otherwise(F.col("block_id")).alias("block_id"), "kind", "text", "source_ids", F.when(F.col("quality").isNotNull(), F.col("text")).alias("target"), "structure_note", _no_text().alias("difference_explanation"), _no_text().alias("duplicate_explanation"), F.when(F.col("quality") == 1, "h").alias("reviewed_hash"), F.lit("h").alias("target_hash"))
     i = F.col("doc_id")
     docs = _t(spark, sf, "documents").select("doc_id", (i % 2 == 0).alias("structure_reviewed"), (i % 3 == 0).alias("terms_reviewed"), (i % 4).alias("n_terms"), F.when(i % 5 == 0, "f").otherwise("g").alias("review_fingerprint"), F.lit("f").alias("fingerprint"), F.when(i % 13 == 0, "x").otherwise("y").alias("stored_hash"), F.lit("y").alias("source_hash"))
     issues = docs.where(i % 6 == 0).select("doc_id", F.concat(F.lit("tex-env-"), i.cast("string")).alias("issue_id"), F.when(i % 12 != 0, "the file is missing").alias("resolution"), F.when(i % 18 == 0, validation.BATCH).otherwise("agent").alias("resolved_by"))
@@ -60,7 +64,7 @@ def limitation_rollup(spark, sf):
 def structure_replaced(spark, sf):
     """New blocks hold two lines each; some lack a note, some a block, and some documents are annotated already."""
     atoms, lines, i = _atoms(spark, sf), _lines(spark, sf), F.col("doc_id")
-    blocks = lines.select("doc_id", "block_id", "ord", "kind", "text", "source_ids", "structure_note", _NO_TEXT.alias("target"))
+    blocks = lines.select("doc_id", "block_id", "ord", "kind", "text", "source_ids", "structure_note", _no_text().alias("target"))
     new = ledger.blocks_of(atoms, 2).withColumn("kind", F.when(i % 17 == 0, "novel").otherwise("paragraph")).withColumn("structure_note", F.when((i % 5 == 0) & (F.col("ord") == 1), " ").otherwise("two lines"))
     new = new.where((i % 7 != 0) | (F.col("ord") > 1))
     notes = _t(spark, sf, "documents").where(i % 9 == 0).select("doc_id")
@@ -73,8 +77,8 @@ def structure_patched(spark, sf):
     """Every second line is merged into the one before it; every fourth from the first becomes a heading, by the later of two updates."""
     lines = _lines(spark, sf)
     blocks = lines.select("doc_id", "block_id", "ord", "kind", "text", "source_ids", F.lit("").alias("structure_note"), F.lit("old").alias("source_change"))
-    first = lines.where("ord % 4 = 1").select("doc_id", "block_id", F.lit(1).alias("seq"), F.lit("caption").alias("kind"), _NO_TEXT.alias("text"), F.lit("by an update").alias("structure_note"), _NO_TEXT.alias("source_change"))
-    updates = first.unionByName(first.withColumn("seq", F.lit(2)).withColumn("kind", F.lit("heading")).withColumn("structure_note", _NO_TEXT))
+    first = lines.where("ord % 4 = 1").select("doc_id", "block_id", F.lit(1).alias("seq"), F.lit("caption").alias("kind"), _no_text().alias("text"), F.lit("by an update").alias("structure_note"), _no_text().alias("source_change"))
+    updates = first.unionByName(first.withColumn("seq", F.lit(2)).withColumn("kind", F.lit("heading")).withColumn("structure_note", _no_text()))
     merges = lines.where("ord % 2 = 0").select("doc_id", F.col("block_id").alias("from_id"), F.format_string("b%05d", F.col("ord") - 1).alias("into_id"), "ord", F.when(F.col("ord") % 4 == 0, "by a merge").alias("structure_note"))
     out = submissions.patch_structure(blocks, updates, merges, default_note="by default")
     return out.select("doc_id", "block_id", "kind", F.size("source_ids").cast("long").alias("n_sources"), "structure_note", "source_change", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -91,7 +95,7 @@ def merges_refused(spark, sf):
 def assets_attached(spark, sf):
     """Every third line is a figure without an image; the third line asks for one, in some documents under a wrong name, for a paragraph or without a file."""
     lines, i = _lines(spark, sf), F.col("doc_id")
-    blocks = lines.select("doc_id", "block_id", F.when(F.col("ord") % 3 == 0, "figure").otherwise("paragraph").alias("kind"), _NO_TEXT.alias("asset"), "structure_note")
+    blocks = lines.select("doc_id", "block_id", F.when(F.col("ord") % 3 == 0, "figure").otherwise("paragraph").alias("kind"), _no_text().alias("asset"), "structure_note")
     name = F.when(i % 5 == 0, "other.png").otherwise("region-0123456789abcdef.png")
     requests = lines.where((F.col("ord") == 3) | ((i % 7 == 0) & (F.col("ord") == 1))).select("doc_id", "block_id", name.alias("asset"), F.lit("cut from the page").alias("note"))
     files = _t(spark, sf, "documents").where(i % 11 != 0).select("doc_id", F.lit("region-0123456789abcdef.png").alias("asset"))
@@ -103,8 +107,8 @@ def assets_attached(spark, sf):
 def translations_submitted(spark, sf):
     """Labelled documents submit their lines as translations; toxic ones leave the first empty, every fiftieth is protected, every ninth has no glossary."""
     lines, i = _lines(spark, sf, labelled=True), F.col("doc_id")
-    blocks = lines.select("doc_id", "block_id", "kind", "text", _NO_TEXT.alias("target"), F.array().cast("array<string>").alias("history"), ((i % 50 == 0) & (F.col("ord") == 1)).alias("user_edited"), F.lit("h").alias("reviewed_hash"))
-    submitted = lines.where("quality is not null").select("doc_id", "block_id", F.when((F.col("toxic") == 1) & (F.col("ord") == 1), "").otherwise(F.col("text")).alias("target"), _WHOLE.alias("source_spans"), _WHOLE.alias("target_spans"))
+    blocks = lines.select("doc_id", "block_id", "kind", "text", _no_text().alias("target"), F.array().cast("array<string>").alias("history"), ((i % 50 == 0) & (F.col("ord") == 1)).alias("user_edited"), F.lit("h").alias("reviewed_hash"))
+    submitted = lines.where("quality is not null").select("doc_id", "block_id", F.when((F.col("toxic") == 1) & (F.col("ord") == 1), "").otherwise(F.col("text")).alias("target"), _whole().alias("source_spans"), _whole().alias("target_spans"))
     docs = _t(spark, sf, "documents").select("doc_id", F.lit(True).alias("structure_reviewed"), (i % 9 != 0).alias("terms_reviewed"), F.lit(0).alias("n_terms"))
     out, refused = submissions.submit_translations(blocks, docs, submitted)
     counts = out.groupBy("doc_id").agg(F.count("target").alias("n_translated"), F.count("reviewed_hash").alias("n_reviewed"))
@@ -114,7 +118,7 @@ def translations_submitted(spark, sf):
 def reviews_submitted(spark, sf):
     """Labelled documents review the translation of each line; where quality is 0 an older one, and every tenth forgets a note."""
     lines, i = _lines(spark, sf, labelled=True), F.col("doc_id")
-    blocks = lines.select("doc_id", "block_id", F.col("text").alias("target"), _NO_TEXT.alias("reviewed_hash"))
+    blocks = lines.select("doc_id", "block_id", F.col("text").alias("target"), _no_text().alias("reviewed_hash"))
     requests = lines.where("quality is not null").select("doc_id", "block_id", F.when(F.col("quality") == 1, F.sha2(F.col("text").cast("binary"), 256)).otherwise("old").alias("hash"), F.when((i % 10 == 0) & (F.col("ord") == 1), " ").otherwise("read").alias("note"))
     out, refused = submissions.submit_reviews(blocks, requests)
     counts = out.groupBy("doc_id").agg(F.count("reviewed_hash").alias("n_reviewed"))
@@ -156,7 +160,7 @@ def translation_edited(spark, sf):
 def notes_edited(spark, sf):
     """Labelled documents have a note on their first line; a second version comes for each, with another quote where toxic, and every fourth is deleted."""
     lines = _lines(spark, sf, labelled=True).where("ord = 1 and quality is not null")
-    blocks = lines.select("doc_id", "block_id", "text", _NO_TEXT.alias("target"))
+    blocks = lines.select("doc_id", "block_id", "text", _no_text().alias("target"))
     quote = F.substring("text", 1, 3)
     notes = lines.select("doc_id", F.lit("n1").alias("note_id"), "block_id", F.lit("source").alias("side"), F.lit(0).alias("start"), F.lit(3).alias("end"), quote.alias("quote"), F.lit("old").alias("body"))
     put = notes.withColumn("body", F.lit("new")).join(lines.select("doc_id", "toxic"), "doc_id").withColumn("quote", F.when(F.col("toxic") == 1, F.concat("quote", F.lit("!"))).otherwise(F.col("quote"))).drop("toxic")
@@ -175,7 +179,7 @@ def terms_edited(spark, sf):
 def review_assembled(spark, sf):
     """Lines of labelled documents are reviewed; the snapshot that the agent read has documents of quality 1, without the hash of a second line where toxic."""
     lines = _lines(spark, sf, labelled=True).where("quality is not null")
-    requests = lines.select("doc_id", "block_id", F.lit("s1").alias("submission_id"), F.when(F.col("doc_id") % 8 == 0, "").otherwise("me").alias("agent"), _NO_TEXT.alias("hash"))
+    requests = lines.select("doc_id", "block_id", F.lit("s1").alias("submission_id"), F.when(F.col("doc_id") % 8 == 0, "").otherwise("me").alias("agent"), _no_text().alias("hash"))
     snapshot = lines.where("quality = 1").select("doc_id", (F.col("doc_id") % 9).alias("revision"), "block_id", F.when((F.col("toxic") == 0) | (F.col("ord") != 2), F.sha2(F.col("text").cast("binary"), 256)).alias("translation_hash"))
     rows, refused = submissions.assemble(requests, snapshot, "review")
     counts = rows.groupBy("doc_id", "revision").agg(F.count("translation_hash").alias("n_blocks"))
@@ -185,7 +189,7 @@ def review_assembled(spark, sf):
 def public_view(spark, sf):
     """Lines of documents as agents see them; those of a number divisible by three were shown before."""
     lines = _lines(spark, sf, labelled=True)
-    blocks = lines.select("doc_id", "ord", "block_id", "kind", "text", "source_ids", _NO_TEXT.alias("asset"), F.when(F.col("quality") == 1, F.col("text")).alias("target"), _NO_TEXT.alias("reviewed_hash"), F.lit(False).alias("user_edited"), "structure_note")
+    blocks = lines.select("doc_id", "ord", "block_id", "kind", "text", "source_ids", _no_text().alias("asset"), F.when(F.col("quality") == 1, F.col("text")).alias("target"), _no_text().alias("reviewed_hash"), F.lit(False).alias("user_edited"), "structure_note")
     shown = views.with_refs(views.public_blocks(blocks), lines.where("ord % 3 = 0"))
     return shown.select("doc_id", F.col("ord").cast("long").alias("ord"), "ref", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "translation_hash", "has_structure_note")
 

@@ -75,6 +75,44 @@ def import_rows(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return one.select("_file.path", "_file.content").mapInArrow(_import, ROWS)
 
 
+ASSETS = "doc_id string, block_id string, asset string, content binary, cut_left int, cut_top int, cut_right int, cut_bottom int, width int, height int"
+_ASSET_TYPES = [pa.string(), pa.string(), pa.string(), pa.binary(), *[pa.int32()] * 6]
+
+
+def image_size(content: bytes) -> tuple[int | None, int | None]:
+    """Width and height of a PNG, GIF or JPEG by its head; nulls for anything else."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return int.from_bytes(content[16:20]), int.from_bytes(content[20:24])
+    if content[:6] in (b"GIF87a", b"GIF89a") and len(content) >= 10:
+        return int.from_bytes(content[6:8], "little"), int.from_bytes(content[8:10], "little")
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 9 <= len(content) and content[at] == 0xFF:
+        if 0xC0 <= content[at + 1] <= 0xCF and content[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(content[at + 7 : at + 9]), int.from_bytes(content[at + 5 : at + 7])
+        at += 2 + int.from_bytes(content[at + 2 : at + 4])
+    return None, None
+
+
+def _assets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column("content"):
+            content = raw.as_py()
+            try:
+                found = read_docx(content).assets
+            except (UnicodeDecodeError, ValueError, KeyError):  # an issue of the import
+                found = []
+            doc = hashlib.sha256(content).hexdigest()[:24]
+            rows = [(doc, f"b{a.fragment:05d}", a.name, a.content, *(a.crop or (None,) * 4), *image_size(a.content)) for a in found]
+            columns = list(zip(*rows, strict=True)) or [()] * len(_ASSET_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ASSET_TYPES, strict=True)], names=[c.split()[0] for c in ASSETS.split(", ")])
+
+
+def images_of_documents(documents: DataFrame) -> DataFrame:
+    """doc_id, block_id, asset, content of the images in Word documents, with the shares that are cut off, and their sizes in pixels."""
+    word = documents.where(F.lower("path").endswith(".docx"))
+    return word.groupBy(content_id(F.col("content")).alias("_id")).agg(F.first("content").alias("content")).select("content").mapInArrow(_assets, ASSETS)
+
+
 def fragments_of(imported: DataFrame) -> DataFrame:
     return imported.where("atom_id is not null").drop("issue_id", "message")
 

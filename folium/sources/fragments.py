@@ -19,12 +19,23 @@ class Fragment:
     line_end: int
 
 
+@dataclass
+class Asset:
+    """An image that a fragment shows: the fragment's number from 1, a name, the bytes, and the shares that the document cuts off."""
+
+    fragment: int
+    name: str
+    content: bytes
+    crop: tuple[int, int, int, int] | None = None
+
+
 @dataclass
 class Import:
-    """Fragments of one document in reading order, and what could not be taken over."""
+    """Fragments of one document in reading order, the images that it holds, and what could not be taken over."""
 
     fragments: list[Fragment] = field(default_factory=list)
     issues: list[tuple[str, str]] = field(default_factory=list)
+    assets: list[Asset] = field(default_factory=list)
 
 
 class Places:

@@ -117,3 +117,27 @@ def test_windows_stream_equals_batch(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("windows").collect()} == expected
+
+
+def test_docx_images_and_objects():
+    from folium.sources.files import image_size
+
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\0\x10\0\0\0\x08"
+    names = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:v="urn:schemas-microsoft-com:vml" xmlns:o="urn:schemas-microsoft-com:office:office"'
+    blip = '<w:r><w:drawing><a:blipFill><a:blip r:embed="{}"/>{}</a:blipFill></w:drawing></w:r>'
+    body = "<w:p>" + blip.format("r1", '<a:srcRect l="1000" t="x"/>') + blip.format("r1", "") + blip.format("r9", "") + "</w:p>"
+    body += '<w:p><w:r><w:object><v:shape><v:imagedata r:id="r2"/></v:shape><o:OLEObject ProgID="Equation.3" r:id="r3"/></w:object></w:r></w:p>'
+    body += '<w:p><w:r><w:drawing><a:blip r:link="r1"/></w:drawing></w:r></w:p>'
+    relation = "".join(f'<Relationship Id="{k}" Target="{t}"/>' for k, t in (("r1", "media/a.PNG"), ("r2", "/word/media/b.emf"), ("r3", "embeddings/o.bin")))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {names}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{relation}</Relationships>')
+        for name, content in (("word/media/a.PNG", png), ("word/media/b.emf", b"emf"), ("word/embeddings/o.bin", b"o")):
+            z.writestr(name, content)
+    found = read_docx(out.getvalue())
+    assert kinds(found) == [("figure", "[image]"), ("figure", "[OLE Equation.3] preview word/media/b.emf")]
+    assert [(a.fragment, a.name, a.content, a.crop) for a in found.assets] == [(1, "image-b00001.png", png, (1000, 0, 0, 0)), (2, "image-b00002.emf", b"emf", None)]
+    assert [i for i, _ in found.issues] == ["docx-crop-1", "docx-image-1", "docx-ole-1"] and "word/embeddings/o.bin" in found.issues[2][1] and "preview retained as image-b00002.emf" in found.issues[2][1]
+    assert image_size(png) == (16, 8) and image_size(b"GIF89a\x05\0\x07\0") == (5, 7) and image_size(b"") == (None, None)
+    assert image_size(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08\0\x09\0\x0c") == (12, 9)
