@@ -11,11 +11,13 @@ newlines are escaped first, so a role always ends at the first newline. A conver
 last turn is not an assistant's gets one last example without a trainable part, so that every
 turn is in the output.
 
-Turns are dealt by conversation and streamed in order; a task holds one conversation's text.
+Turns are dealt by conversation and streamed in order; a task holds one conversation's text. A conversation is
+not split: of n turns it writes n prefixes, 100 MB for 1,000 turns of 200 characters.
 
 Defined cases: a null text or role is empty; a null conv_id is a conversation; a null turn comes
-first; rows with one turn number follow each other by role and text; a conversation of one
-text only has one example; an empty table gives no rows.
+first; rows with one turn number follow each other by role and text, and repeated rows are turns of their own; a
+conversation of one text only has one example; a very long text is one turn, whole in every example; columns but conv_id, turn,
+role and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ of sparse features learns; the weights are a table of fixed size.
 
 Defined cases: a null or empty text is scored by the intercept alone; labels without a document, null
 labels and null ids are not learned from; documents with several labels count once per
-label, and rows that share a labelled id each, within SAMPLE rows in all; a very long text is scored whole; without a usable label all weights are 0 and every score is 0.5; an empty table gives no rows;
+label, and rows that share a labelled id each, within SAMPLE rows in all; a very long text is scored whole;
+without a usable label all weights are 0 and every score is 0.5; an empty table gives no rows;
 a column quality_score of the input is replaced, others stay.
 """
 

@@ -14,7 +14,8 @@ session's spark.checkpoint.dir names; a lost executor's archive is written again
 
 Defined cases: a null html is an empty payload; a null url is an empty target; rows that share the
 largest page_id of a payload are all responses; a null page_id is never referred to, unless all
-ids of the payload are null, when all its rows are responses; repeated rows are records of their own;
+ids of the payload are null, when all its rows are responses; repeated rows are records of their own; a very long
+html is one record, which a task holds whole; columns but page_id, url and html are ignored;
 an empty table gives no rows.
 """
 
