@@ -276,11 +276,51 @@ def test_repeated_and_null_ids(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows) == [("7", "7"), ("7", "7"), ("9", "7"), ("None", "7"), ("None", "None")]
 
 
-def test_shared_counts_are_never_too_low():
-    own = np.array([5, 5 + (1 << 32), 7], dtype=np.uint64)
-    packed = [jaccard_join._pack([own, np.append(own, np.uint64(9))], [1, 2], [1, 2], 1), jaccard_join._pack([own], [1], [1], 1)]
-    found = jaccard_join._totals(jaccard_join._sharer(1)(pa.Table.from_batches(packed))).to_pydict()
-    assert found == {"cid": [1, 2], "shared": [3, 3]}
+def shared_by_brute_force(sets):
+    """sets: (id, label, tokens) of distinct ids."""
+    return {i: sum(any(t in other and label != theirs for _, theirs, other in sets) for t in own) for i, label, own in sets}
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("labels", [1, 3, 1000])
+def test_shared_counts(seed, labels):
+    """Packs that hold some classes again, common tokens, bundles of one label, and many buckets."""
+    rng = random.Random(seed)
+    universe = [rng.randrange(1 << 64) for _ in range(120)] + [0, 1, (1 << 64) - 1]
+    sets = [(rng.randrange(-(1 << 62), 1 << 62), k % labels if labels < 1000 else k, set(rng.choices(universe[: rng.choice((5, 40, 123))], k=rng.choice((1, 10, 60))))) for k in range(40)]
+    buckets, parts, rows, out = rng.choice((1, 7)), 3, {}, {}
+    for number in range(6):
+        own = sets[number * 6 : number * 6 + 10] + rng.sample(sets[:6], 2)
+        own = list({s[0]: s for s in own}.values())
+        for row in jaccard_join._pack([np.array(sorted(t), dtype=np.uint64) for _, _, t in own], [i for i, _, _ in own], [x for _, x, _ in own], buckets):
+            rows.setdefault(row[0], []).append(row)
+    for own in rows.values():
+        found = jaccard_join._sharer(parts)(pa.Table.from_batches([jaccard_join._batch_of(own, ["bucket", "kind", "ids", "runs", "labels", "tokens"])]))
+        for row in found.to_pylist():
+            out.setdefault(row["part"], []).append(row)
+    total = {}
+    for own in out.values():
+        for row in jaccard_join._totals(pa.Table.from_pylist(own)).to_pylist():
+            was = total.get(row["cid"], (0, 0))
+            total[row["cid"]] = was[0] + row["shared"], was[1] + row["packs"]
+    assert {i: s / p for i, (s, p) in total.items() if p} == shared_by_brute_force(sets)
+
+
+def test_a_common_token_is_one_entry_of_a_pack():
+    common = np.arange(50, dtype=np.uint64)
+    rows = list(jaccard_join._pack([np.append(common, np.uint64(1000 + k)) for k in range(300)], list(range(300)), list(range(300)), 1))
+    entries = [r for r in rows if r[1] == jaccard_join.ENTRIES]
+    assert sum(len(r[5]) // 4 for r in entries) == 50 + 300
+
+
+def test_classes_that_share_a_number(spark):
+    rows = table(spark, [(1, 0, 3, 7, 1), (2, 0, 3, 7, 2), (3, 0, 3, 7, 1), (4, 0, 3, 8, 5), (5, 0, 0, 9, 1), (6, 0, 0, 9, 2)], "doc_id long, copy long, n long, cid long, check long")
+    renamed = jaccard_join._renamed(rows, [])
+    assert renamed == {(7, 2): 7 ^ 3}
+    assert {r["doc_id"]: r["cid"] for r in jaccard_join._in_classes(rows, renamed).collect()} == {1: 7, 2: 4, 3: 7, 4: 8, 5: 9, 6: 9}
+    tokens = np.array([1, 2], dtype=np.uint64)
+    number, check = jaccard_join.class_and_check(tokens)
+    assert jaccard_join.class_of(tokens, {}) == number and jaccard_join.class_of(tokens, {(number, check): 5}) == 5
 
 
 def test_one_of_each_decides_by_row(spark):
