@@ -68,6 +68,22 @@ def test_run_twice(spark):
     assert first == second
 
 
+def test_nothing_is_left_behind(spark, tmp_path):
+    import os
+
+    from folium.llm import jaccard_join, shared
+
+    folder = shared.shared_folder(spark).removeprefix("file://").removeprefix("file:") + "/folium"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with shared.tidy(spark):
+        jaccard_join.op6(spark.read.parquet(f"{DATA}/documents.parquet")).write.parquet(str(tmp_path / "out"))
+        assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} >= {"jaccard-labelled"}
+    assert set(os.listdir(folder)) == before
+    corpus_pipeline.run(spark, DATA)
+    assert [x for x in set(os.listdir(folder)) - before if x.startswith("pipeline-")] != []
+    assert sum(x.startswith("pipeline-") for x in set(os.listdir(folder)) - before) == 1
+
+
 def test_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long, shard int, label string"
     rows = [(1, None, None, None, None, 1, "x"), (1, "a b c", "en", None, 5, 1, "x"), (None, "a b c", "en", "s", 5, 1, "x"), (2, "", "en", "s", 0, 1, "x"), (3, "word " * 20_000, "en", "s", 100_000, 1, "x")]
