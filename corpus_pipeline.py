@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.llm import decontamination, jaccard_join, mixing, quality, sharding
-from folium.llm.shared import new_folder, table, write_table
+from folium.llm.shared import new_folder, remove, table, tidy, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,10 +66,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's rows are written to the shared folder and read again, and go when the next are written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_folder(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with tidy(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
