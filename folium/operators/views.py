@@ -105,6 +105,17 @@ def stage(structure_reviewed: Column, has_terms: Column, untranslated: Column, u
     return F.when(~structure_reviewed, "structure").when(~has_terms, "terms").when(untranslated > 0, "translate").when(unreviewed > 0, "review").when(errors > 0, "full_review").otherwise("complete")
 
 
+def public_documents(docs: DataFrame, blocks: DataFrame, notes: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """doc_id, document: what a reader is given of each document, as one JSON object.
+
+    blocks: as public_blocks gives them; notes: note_id, block_id and status; verdicts: doc_id, ok and counts.
+    """
+    listed = lambda rows, name, order: rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c not in ("doc_id", order)]))).alias(name))
+    said = verdicts.select("doc_id", F.struct(*[c for c in verdicts.columns if c != "doc_id"]).alias("validation"))
+    both = docs.join(listed(blocks, "blocks", "ord"), "doc_id", "left").join(listed(notes, "notes", "note_id"), "doc_id", "left").join(said, "doc_id", "left")
+    return both.select("doc_id", F.to_json(F.struct(*docs.columns, "blocks", "notes", "validation")).alias("document"))
+
+
 # ---- Snapshots ----
 
 

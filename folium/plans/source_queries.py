@@ -139,6 +139,19 @@ def html_partition(spark, sf):
     return found.groupBy("ok").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def images_linked(spark, sf):
+    """Markdown documents and pages show an image beside them that every second folder holds, and one that is far."""
+    number = F.col("doc_id").cast("string")
+    text = F.concat(_marked(), F.lit("\n\n![near](i"), number, F.lit(".png)\n\n![far](//e.org/x.png)\n"))
+    docs = _t(spark, sf, "documents").select(F.concat(F.lit("d"), number, F.lit("/a.md")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    page = F.col("page_id").cast("string")
+    html = F.concat(F.lit("<p>x<img src='i"), page, F.lit(".png'></p>"))
+    pages = _t(spark, sf, "pages").select(F.concat(F.lit("d"), page, F.lit("/b.html")).alias("path"), F.encode(html, "UTF-8").alias("content"))
+    there = _t(spark, sf, "documents").where("doc_id % 2 = 0").select(F.concat(F.lit("d"), number, F.lit("/i"), number, F.lit(".png")).alias("path"))
+    found = regions.local_images(files.image_links(docs.unionByName(pages)), there)
+    return found.select("folder", "block_id", "target", "asset", "copied_from", "issue_id")
+
+
 def files_supported(spark, sf):
     """Documents are files of kinds that importers know and do not know, in any case."""
     suffix = F.element_at(F.array(*[F.lit(x) for x in (".txt", ".MD", ".doc", "", ".TeX", ".html.bak")]), (F.col("doc_id") % 6 + 1).cast("int"))
@@ -178,7 +191,7 @@ def event_windows(spark, sf):
     return ingest.event_windows(_t(spark, sf, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
-QUERIES = {f.__name__: f for f in (html_blocks, markdown_blocks, tex_blocks, docx_blocks, docx_images, text_import, import_issues, html_script_stripped, html_title_outline, html_list_text, html_partition, files_supported, known_files_left_out, assets_served, documents_listed, rows_upserted, event_windows)}
+QUERIES = {f.__name__: f for f in (html_blocks, markdown_blocks, tex_blocks, docx_blocks, docx_images, text_import, import_issues, html_script_stripped, html_title_outline, html_list_text, html_partition, images_linked, files_supported, known_files_left_out, assets_served, documents_listed, rows_upserted, event_windows)}
 
 _CLEAN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '</?p>|<br>|</?li>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"""
 #: The pages' blocks: the navigation, whose list is no block, the advertisement, the heading, an article whose first paragraph never closes, the footer.
@@ -222,6 +235,10 @@ SELECT doc_id || '.docx' AS path, printf('b%05d', i) AS block_id, CASE WHEN i =
        coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at FROM u""",
     "docx_images": f"""
 SELECT printf('b%05d', n) AS block_id, printf('image-b%05d.png', n) AS asset, 24::BIGINT AS n_bytes, 10::BIGINT AS x0, 0::BIGINT AS y0, 40::BIGINT AS x1, 30::BIGINT AS y1, count(*)::BIGINT AS n FROM (SELECT len(string_split(text, chr(10))) + 3 AS n FROM documents) GROUP BY 1, 2""",
+    "images_linked": """
+WITH f AS (SELECT doc_id AS n, 'b00002' AS b FROM documents UNION ALL SELECT page_id, 'b00002' FROM pages), g AS (SELECT n, b, n % 2 = 0 AND n IN (SELECT doc_id FROM documents) AS found FROM f)
+SELECT 'd' || n AS folder, b AS block_id, 'i' || n || '.png' AS target, CASE WHEN found THEN 'image-b00002.png' END AS asset, CASE WHEN found THEN 'd' || n || '/i' || n || '.png' END AS copied_from, CASE WHEN NOT found THEN 'image-b00002' END AS issue_id FROM g
+UNION ALL SELECT 'd' || doc_id, 'b00003', '//e.org/x.png', NULL, NULL, 'image-b00003' FROM documents""",
     "files_supported": "SELECT 'in/' || doc_id || ['.txt', '.MD', '.doc', '', '.TeX', '.html.bak'][doc_id % 6 + 1] AS path FROM documents WHERE doc_id % 6 IN (0, 1, 4)",
     "known_files_left_out": "SELECT DISTINCT substr(sha256(text), 1, 24) AS doc_id FROM documents WHERE trim(text, ' ' || chr(10) || chr(13)) <> '' AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
     "assets_served": """

@@ -194,6 +194,16 @@ def public_view(spark, sf):
     return shown.select("doc_id", F.col("ord").cast("long").alias("ord"), "ref", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "translation_hash", "has_structure_note")
 
 
+def documents_published(spark, sf):
+    """Documents with their lines, a note where labelled, and a verdict that fails where quality is 0."""
+    lines = _lines(spark, sf, labelled=True)
+    notes = lines.where("ord = 1 and toxic is not null").select("doc_id", F.lit("n1").alias("note_id"), F.when(F.col("toxic") == 1, "orphaned").otherwise("attached").alias("status"))
+    verdicts = _t(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"), (1 - F.col("quality")).alias("n_errors"))
+    docs = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("title"))
+    found = views.public_documents(docs, lines.select("doc_id", "ord", "block_id", F.sha2(F.col("text").cast("binary"), 256).alias("text")), notes, verdicts)
+    return found.select("doc_id", F.sha2(F.col("document").cast("binary"), 256).alias("document_sha256"))
+
+
 def projection_meta(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), (F.col("doc_id") % 9).alias("revision"), F.lit("translate").alias("stage"), F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"), F.lit(1).alias("schema_version"))
     found = views.projection_meta(docs, _lines(spark, sf), _atoms(spark, sf).where("text <> ''"))
@@ -265,7 +275,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         validate_whole, limitation_rollup, structure_replaced, structure_patched, merges_refused, assets_attached, translations_submitted, reviews_submitted, terms_submitted, full_review_submitted, translation_edited,
-        notes_edited, terms_edited, review_assembled, public_view, projection_meta, reader_columns, images_resolved, crops_of_images, metafile_points, visual_errors, math_wrapped, pairs_checked,
+        notes_edited, terms_edited, review_assembled, public_view, documents_published, projection_meta, reader_columns, images_resolved, crops_of_images, metafile_points, visual_errors, math_wrapped, pairs_checked,
     )
 }
 
@@ -349,6 +359,11 @@ SELECT doc_id, CASE WHEN errors IS NULL THEN (doc_id % 9)::BIGINT END AS revisio
     "public_view": f"""
 SELECT l.doc_id, ord::BIGINT AS ord, ord % 3 = 0 AS ref, CASE WHEN ord % 3 <> 0 THEN sha256(text) END AS text_sha256, CASE WHEN ord % 3 <> 0 AND quality = 1 THEN sha256(text) END AS translation_hash, CASE WHEN ord % 3 <> 0 THEN true END AS has_structure_note
 FROM ({_L}) l LEFT JOIN labels USING (doc_id)""",
+    "documents_published": f"""
+WITH b AS (SELECT doc_id, string_agg('{{"ord":' || ord || ',"block_id":"' || printf('b%05d', ord) || '","text":"' || sha256(text) || '"}}', ',' ORDER BY ord) AS b FROM ({_L}) GROUP BY 1)
+SELECT d.doc_id, sha256('{{"doc_id":' || d.doc_id || ',"title":"' || source || '","blocks":[' || b || ']' || CASE WHEN toxic IS NULL THEN '' ELSE ',"notes":[{{"note_id":"n1","status":"' || CASE toxic WHEN 1 THEN 'orphaned' ELSE 'attached' END || '"}}]' END
+  || CASE WHEN quality IS NULL THEN '' ELSE ',"validation":{{"ok":' || (quality = 1)::VARCHAR || ',"n_errors":' || (1 - quality) || '}}' END || '}}') AS document_sha256
+FROM documents d JOIN b USING (doc_id) LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "projection_meta": f"""
 SELECT d.doc_id, source AS title, d.doc_id % 9 AS revision, 'translate' AS stage, sha256(d.text) AS fingerprint, d.doc_id || '.txt' AS source_file, 1::BIGINT AS schema_version, true AS projection, n AS block_count, a AS atom_count
 FROM documents d JOIN (SELECT doc_id, count(*)::BIGINT AS n, (count(*) FILTER (WHERE text <> ''))::BIGINT AS a FROM ({_L}) GROUP BY 1) USING (doc_id)""",

@@ -93,6 +93,30 @@ def image_size(content: bytes) -> tuple[int | None, int | None]:
     return None, None
 
 
+LINKS = "doc_id string, block_id string, folder string, target string"
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            content = raw.as_py()
+            doc, suffix = hashlib.sha256(content).hexdigest()[:24], "." + path.rsplit(".", 1)[-1].lower()
+            try:
+                found = READERS[suffix](content).links
+            except (UnicodeDecodeError, ValueError, KeyError):  # an issue of the import
+                found = []
+            rows += [(doc, f"b{n:05d}", path.rpartition("/")[0], target) for n, target in found]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=[c.split()[0] for c in LINKS.split(", ")])
+
+
+def image_links(documents: DataFrame) -> DataFrame:
+    """doc_id, block_id, folder, target of the images that HTML and Markdown files show; local_images tells which may be copied."""
+    one = documents.select(content_id(F.col("content")).alias("_id"), F.struct("path", "content").alias("_file")).groupBy("_id").agg(F.min("_file").alias("_file"))
+    return supported(one.select("_file.path", "_file.content")).mapInArrow(_links, LINKS)
+
+
 def _assets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column("content"):

@@ -36,6 +36,8 @@ class Import:
     fragments: list[Fragment] = field(default_factory=list)
     issues: list[tuple[str, str]] = field(default_factory=list)
     assets: list[Asset] = field(default_factory=list)
+    #: Number of a fragment, from 1, and where the image that it shows is said to be.
+    links: list[tuple[int, str]] = field(default_factory=list)
 
 
 class Places:

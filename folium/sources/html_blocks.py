@@ -132,6 +132,8 @@ def read_html(source: str) -> Import:
     def figure(node: Element) -> None:
         add("figure", node.attributes.get("alt", "").strip() or "[image]", node.raw)
         target = node.attributes.get("src", "").strip()
+        if target:
+            out.links.append((len(out.fragments), target))
         if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:|//", target):
             out.issues.append((f"image-b{len(out.fragments):05d}", f"Image {target} is not in the source folder"))
 

@@ -80,6 +80,7 @@ def read_markdown(source: str) -> Import:
         kind = "formula" if kind == "paragraph" and text.lstrip().startswith("$$") else kind
         if image := _IMAGE.fullmatch(text.strip()):
             kind = "figure"
+            out.links.append((len(out.fragments) + 1, image[2]))
             if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:|//", image[2]):
                 out.issues.append((f"image-b{len(out.fragments) + 1:05d}", f"Image {image[2]} is not in the source folder"))
         out.fragments.append(Fragment(kind, text, offsets[i], offsets[end], i + 1, end))
