@@ -16,8 +16,43 @@ from folium.functions import spans as S
 from folium.functions import text as X
 from folium.operators import ledger, mutation
 
+# Names of crops, and the kinds that may be given an image.
 CROP_NAME = r"^region-[a-f0-9]{16}\.png$"
 VISUAL = ("caption", "figure", "formula")
+# What is said of requests that are refused.
+FROZEN = "Structure is frozen after translation/annotation; start structural correction before translation"
+NO_PARTITION = "Structure must account for every source atom exactly once (including excluded items)"
+SAME_IDS = "Duplicate block ids"
+EMPTY_REFERENCE = "preserved reference text cannot be empty"
+MERGE_NOTE = "Merge requires structure_note"
+MERGE_ONCE = "Merge from must list other blocks once"
+VISUAL_ONLY = "Only a missing visual on a caption/figure/formula may be attached"
+CROP_REQUIRED = "Existing local crop asset required"
+VISUAL_EVIDENCE = "Visual attachment evidence required"
+GLOSSARY_FIRST = "Submit glossary before translation (empty list permitted)"
+STRUCTURE_FIRST = "Review structure first"
+SUBMITTED_TWICE = "Duplicate block submission"
+TEXT_REQUIRED = "Translation text required"
+ROWS_LOST = "table row boundaries lost; keep translated rows on separate lines"
+SOURCE_UNCOVERED = "source alignment must cover all non-whitespace exactly once"
+TARGET_UNCOVERED = "target alignment must cover all non-whitespace exactly once"
+OLD_HASH = "Review must target the current translation hash"
+REVIEW_NOTE = "Review evidence note required"
+TERM_FIELDS = "Terms require unique ids, en, zh, definition"
+TERMS_EDITED = "User-edited terms must be preserved via UI"
+STALE_REVIEW = "Whole review fingerprint stale"
+FULL_EVIDENCE = "Full-review evidence required"
+UNTRANSLATED = "Translate with Agent first"
+NO_SPAN = "Invalid target span"
+EMPTY_TRANSLATION = "Translation cannot be empty"
+NO_ANCHOR = "Invalid annotation anchor"
+MOVED_SELECTION = "Selection changed; reselect text to attach note"
+NO_SUBMISSION = "submission_id is required"
+NO_AGENT = "agent is required"
+NO_REVISION = "task snapshot is required to bind revision; refusing to stamp the latest document revision"
+NO_BLOCK = "each assembled block needs an id"
+NO_HASH = "task snapshot is required to bind translation_hash; refusing to hash the latest translation"
+REVIEW_MISSING = "Current whole-document review required"
 PROTECTED = "user-edited translation is protected"
 
 
@@ -35,7 +70,7 @@ def _allowed(requests: DataFrame, refused: DataFrame) -> DataFrame:
 def frozen(blocks: DataFrame, notes: DataFrame) -> DataFrame:
     """doc_id, error of documents whose structure is fixed, as they have a translation or a note."""
     begun = blocks.where("target is not null").select("doc_id").union(notes.select("doc_id")).distinct()
-    return begun.select("doc_id", F.lit("Structure is frozen after translation/annotation; start structural correction before translation").alias("error"))
+    return begun.select("doc_id", F.lit(FROZEN).alias("error"))
 
 
 def structure_refusals(blocks: DataFrame, atoms: DataFrame, new: DataFrame, notes: DataFrame) -> DataFrame:
@@ -43,9 +78,9 @@ def structure_refusals(blocks: DataFrame, atoms: DataFrame, new: DataFrame, note
     asked = new.select("doc_id").distinct()
     named = mutation.structure_errors(new).select("doc_id", "error")
     split = ledger.partition_check(atoms.join(asked, "doc_id", "left_semi"), new).where("not ok")
-    split = split.select("doc_id", F.lit("Structure must account for every source atom exactly once (including excluded items)").alias("error"))
-    twice = new.groupBy("doc_id", "block_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit("Duplicate block ids").alias("error"))
-    empty = new.where((F.col("kind") == "reference") & _blank("text")).select("doc_id", F.lit("preserved reference text cannot be empty").alias("error"))
+    split = split.select("doc_id", F.lit(NO_PARTITION).alias("error"))
+    twice = new.groupBy("doc_id", "block_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(SAME_IDS).alias("error"))
+    empty = new.where((F.col("kind") == "reference") & _blank("text")).select("doc_id", F.lit(EMPTY_REFERENCE).alias("error"))
     return reduce(DataFrame.unionByName, [frozen(blocks, notes).join(asked, "doc_id", "left_semi"), named, split, twice, empty]).distinct()
 
 
@@ -87,9 +122,9 @@ def merge_refusals(blocks: DataFrame, merges: DataFrame) -> DataFrame:
     lost = merges.select("doc_id", F.explode(F.array("from_id", "into_id")).alias("_known")).join(known, ["doc_id", "_known"], "left_anti")
     parts = [
         lost.select("doc_id", F.concat(F.lit("Unknown block "), "_known").alias("error")),
-        merges.where(_blank("structure_note")).select("doc_id", F.lit("Merge requires structure_note").alias("error")),
-        merges.where("from_id = into_id").select("doc_id", F.lit("Merge from must list other blocks once").alias("error")),
-        merges.groupBy("doc_id", "from_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit("Merge from must list other blocks once").alias("error")),
+        merges.where(_blank("structure_note")).select("doc_id", F.lit(MERGE_NOTE).alias("error")),
+        merges.where("from_id = into_id").select("doc_id", F.lit(MERGE_ONCE).alias("error")),
+        merges.groupBy("doc_id", "from_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(MERGE_ONCE).alias("error")),
     ]
     return reduce(DataFrame.unionByName, parts).distinct()
 
@@ -107,9 +142,9 @@ def attach_assets(blocks: DataFrame, requests: DataFrame, files: DataFrame) -> t
     asked = requests.join(target, ["doc_id", "block_id"], "left").join(there, ["doc_id", "asset"], "left")
     error = (
         F.when(F.col("_kind").isNull(), "Unknown block")
-        .when(~F.col("_kind").isin(*VISUAL) | (F.coalesce("_own", F.lit("")) != ""), "Only a missing visual on a caption/figure/formula may be attached")
-        .when(F.col("asset").isNull() | ~F.col("asset").rlike(CROP_NAME) | F.col("_there").isNull(), "Existing local crop asset required")
-        .when(_blank("note"), "Visual attachment evidence required")
+        .when(~F.col("_kind").isin(*VISUAL) | (F.coalesce("_own", F.lit("")) != ""), VISUAL_ONLY)
+        .when(F.col("asset").isNull() | ~F.col("asset").rlike(CROP_NAME) | F.col("_there").isNull(), CROP_REQUIRED)
+        .when(_blank("note"), VISUAL_EVIDENCE)
     )
     refused = asked.select("doc_id", error.alias("error")).where("error is not null").distinct()
     good = mutation.one_for_each_block(_allowed(requests, refused), ["asset", "note"])
@@ -125,8 +160,8 @@ def translation_refusals(blocks: DataFrame, docs: DataFrame, submitted: DataFram
     docs: doc_id, structure_reviewed, terms_reviewed, n_terms.
     """
     asked = submitted.select("doc_id").distinct().join(docs, "doc_id", "left")
-    early = F.when(~F.coalesce("terms_reviewed", F.lit(False)) & (F.coalesce("n_terms", F.lit(0)) == 0), "Submit glossary before translation (empty list permitted)").when(~F.coalesce("structure_reviewed", F.lit(False)), "Review structure first")
-    twice = mutation.repeated_submissions(submitted).select("doc_id", F.lit("Duplicate block submission").alias("error"))
+    early = F.when(~F.coalesce("terms_reviewed", F.lit(False)) & (F.coalesce("n_terms", F.lit(0)) == 0), GLOSSARY_FIRST).when(~F.coalesce("structure_reviewed", F.lit(False)), STRUCTURE_FIRST)
+    twice = mutation.repeated_submissions(submitted).select("doc_id", F.lit(SUBMITTED_TWICE).alias("error"))
     own = blocks.select("doc_id", "block_id", F.col("kind").alias("_kind"), F.col("text").alias("_text"), F.col("user_edited").alias("_edited"))
     both = submitted.join(own, ["doc_id", "block_id"], "left")
     named = lambda message: F.concat("block_id", F.lit(f": {message}"))
@@ -134,10 +169,10 @@ def translation_refusals(blocks: DataFrame, docs: DataFrame, submitted: DataFram
     fault = (
         F.when(F.col("_kind").isNull(), F.concat(F.lit("Unknown block "), "block_id"))
         .when(F.coalesce("_edited", F.lit(False)), named(PROTECTED))
-        .when(_blank("target"), F.lit("Translation text required"))
-        .when((F.col("_kind") == "table") & (rows_of > 1) & (X.nonblank_lines(F.col("target")) < 2), named("table row boundaries lost; keep translated rows on separate lines"))
-        .when(~S.spans_valid(F.col("_text"), F.col("source_spans")), named("source alignment must cover all non-whitespace exactly once"))
-        .when(~S.spans_valid(F.col("target"), F.col("target_spans")), named("target alignment must cover all non-whitespace exactly once"))
+        .when(_blank("target"), F.lit(TEXT_REQUIRED))
+        .when((F.col("_kind") == "table") & (rows_of > 1) & (X.nonblank_lines(F.col("target")) < 2), named(ROWS_LOST))
+        .when(~S.spans_valid(F.col("_text"), F.col("source_spans")), named(SOURCE_UNCOVERED))
+        .when(~S.spans_valid(F.col("target"), F.col("target_spans")), named(TARGET_UNCOVERED))
     )
     parts = [asked.select("doc_id", early.alias("error")), twice, both.select("doc_id", fault.alias("error"))]
     return reduce(DataFrame.unionByName, parts).where("error is not null").distinct()
@@ -153,8 +188,8 @@ def submit_reviews(blocks: DataFrame, submitted: DataFrame) -> tuple[DataFrame,
     """Blocks after reviews (doc_id, block_id, hash, note), and the refusals: a review is of the translation as it is now."""
     current = blocks.select("doc_id", "block_id", F.sha2(F.col("target").cast("binary"), 256).alias("_now"))
     both = submitted.join(current, ["doc_id", "block_id"], "left")
-    fault = F.when(~F.coalesce(F.col("hash") == F.col("_now"), F.lit(False)), "Review must target the current translation hash").when(_blank("note"), "Review evidence note required")
-    twice = mutation.repeated_submissions(submitted).select("doc_id", F.lit("Duplicate block submission").alias("error"))
+    fault = F.when(~F.coalesce(F.col("hash") == F.col("_now"), F.lit(False)), OLD_HASH).when(_blank("note"), REVIEW_NOTE)
+    twice = mutation.repeated_submissions(submitted).select("doc_id", F.lit(SUBMITTED_TWICE).alias("error"))
     refused = both.select("doc_id", fault.alias("error")).where("error is not null").unionByName(twice).distinct()
     return mutation.review(blocks, _allowed(submitted, refused)), refused
 
@@ -162,9 +197,9 @@ def submit_reviews(blocks: DataFrame, submitted: DataFrame) -> tuple[DataFrame,
 def submit_terms(terms: DataFrame, docs: DataFrame, submitted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Glossaries after whole new ones (doc_id, term_id, en, zh, definition), and the refusals: terms that users edited stay."""
     asked = submitted.select("doc_id").distinct()
-    faults = mutation.term_errors(submitted).select("doc_id", F.lit("Terms require unique ids, en, zh, definition").alias("error"))
-    edited = terms.where("user_edited").join(asked, "doc_id", "left_semi").select("doc_id", F.lit("User-edited terms must be preserved via UI").alias("error"))
-    early = asked.join(docs.where("structure_reviewed").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("Review structure first").alias("error"))
+    faults = mutation.term_errors(submitted).select("doc_id", F.lit(TERM_FIELDS).alias("error"))
+    edited = terms.where("user_edited").join(asked, "doc_id", "left_semi").select("doc_id", F.lit(TERMS_EDITED).alias("error"))
+    early = asked.join(docs.where("structure_reviewed").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(STRUCTURE_FIRST).alias("error"))
     refused = reduce(DataFrame.unionByName, [early, faults, edited]).distinct()
     good = _allowed(submitted, refused).withColumn("user_edited", F.lit(False))
     return terms.join(good.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(good.select(*terms.columns)), refused
@@ -176,9 +211,9 @@ def full_reviews(docs: DataFrame, requests: DataFrame, errors: DataFrame) -> tup
     errors: validation errors as they are without the review; any but the missing review itself refuses it.
     """
     own = docs.select("doc_id", F.col("fingerprint").alias("_now"))
-    fault = F.when(~F.coalesce(F.col("fingerprint") == F.col("_now"), F.lit(False)), "Whole review fingerprint stale").when(_blank("note"), "Full-review evidence required")
+    fault = F.when(~F.coalesce(F.col("fingerprint") == F.col("_now"), F.lit(False)), STALE_REVIEW).when(_blank("note"), FULL_EVIDENCE)
     stale = requests.join(own, "doc_id", "left").select("doc_id", fault.alias("error")).where("error is not null")
-    open_work = errors.where("message <> 'Current whole-document review required'").join(requests.select("doc_id").distinct(), "doc_id", "left_semi")
+    open_work = errors.where(F.col("message") != REVIEW_MISSING).join(requests.select("doc_id").distinct(), "doc_id", "left_semi")
     refused = stale.unionByName(open_work.select("doc_id", F.col("message").alias("error"))).distinct()
     done = _allowed(requests, refused).groupBy("doc_id").agg(F.max("fingerprint").alias("_reviewed"))
     both = docs.join(done, "doc_id", "left")
@@ -197,7 +232,7 @@ def edit_translations(blocks: DataFrame, edits: DataFrame) -> tuple[DataFrame, D
     one = mutation.one_for_each_block(edits, ["at", "new_text"])
     both = blocks.join(one, ["doc_id", "block_id"], "left")
     span = F.get(F.col("target_spans"), F.col("_at"))
-    fault = F.when(F.col("target").isNull(), "Translate with Agent first").when((F.col("_at") < 0) | span.isNull(), "Invalid target span").when(X.strip(F.col("_new_text")) == "", "Translation cannot be empty")
+    fault = F.when(F.col("target").isNull(), UNTRANSLATED).when((F.col("_at") < 0) | span.isNull(), NO_SPAN).when(X.strip(F.col("_new_text")) == "", EMPTY_TRANSLATION)
     asked = F.col("_at").isNotNull()
     refused = both.where(asked).select("doc_id", "block_id", fault.alias("error")).where("error is not null")
     hit = asked & fault.isNull()
@@ -221,7 +256,7 @@ def edit_notes(notes: DataFrame, blocks: DataFrame, put: DataFrame, deleted: Dat
     last = put.withColumn("_at", F.row_number().over(newest)).where("_at = 1").drop("_at")
     states = note_states(last, blocks)
     wrong = ~F.coalesce(F.col("side").isin("source", "target") & (F.col("start") >= 0) & (F.col("start") < F.col("end")), F.lit(False))
-    fault = F.when(wrong, "Invalid annotation anchor").when(F.col("status") != "attached", "Selection changed; reselect text to attach note")
+    fault = F.when(wrong, NO_ANCHOR).when(F.col("status") != "attached", MOVED_SELECTION)
     refused = states.select("doc_id", "note_id", fault.alias("error")).where("error is not null")
     good = states.where(fault.isNull()).select(*notes.columns)
     return mutation.upsert(notes, good, ["doc_id", "note_id"]).join(deleted.select("doc_id", "note_id"), ["doc_id", "note_id"], "left_anti"), refused
@@ -252,13 +287,13 @@ def assemble(requests: DataFrame, snapshot: DataFrame, operation: str) -> tuple[
     both = requests.join(revisions, "doc_id", "left").join(hashes, ["doc_id", "block_id"], "left")
     bound = F.coalesce(F.nullif("hash", F.lit("")), "_bound") if operation == "review" else F.lit(None).cast("string")
     fault = (
-        F.when(_blank("submission_id"), "submission_id is required")
-        .when(_blank("agent"), "agent is required")
-        .when(F.col("revision").isNull(), "task snapshot is required to bind revision; refusing to stamp the latest document revision")
-        .when(_blank("block_id"), "each assembled block needs an id")
+        F.when(_blank("submission_id"), NO_SUBMISSION)
+        .when(_blank("agent"), NO_AGENT)
+        .when(F.col("revision").isNull(), NO_REVISION)
+        .when(_blank("block_id"), NO_BLOCK)
     )
     if operation == "review":
-        fault = fault.when(bound.isNull(), F.concat("block_id", F.lit(": task snapshot is required to bind translation_hash; refusing to hash the latest translation")))
+        fault = fault.when(bound.isNull(), F.concat("block_id", F.lit(f": {NO_HASH}")))
     refused = both.select("doc_id", fault.alias("error")).where("error is not null").distinct()
     rows = _allowed(both, refused)
     return rows.select("doc_id", "revision", "submission_id", "agent", F.lit(operation).alias("operation"), "block_id", bound.alias("translation_hash")), refused

@@ -20,6 +20,13 @@ from folium.functions import spans as S
 from folium.functions import text as X
 from folium.operators import ledger, quality
 
+# What is said of documents, and how an issue is marked that a batch of limitations resolved.
+NO_PARTITION = "Source ledger is not an exact partition"
+SAME_IDS = "Duplicate block ids"
+WRONG_MODE = "table_mode must be text/image on a table block"
+NO_IMAGE = "image table needs a non-empty verified source image"
+NO_LABELS = "image table needs source labels for translation"
+NO_FORMULA = "formula needs $...$ or $$...$$ math formatting, or a verified source image"
 LIMITATION = "Confirmed known limitation (not actually fixed): "
 BATCH = "limitation_batch"
 
@@ -29,10 +36,10 @@ def visual_error(kind: Column, text: Column, asset: Column, table_mode: Column,
     blank = X.strip(F.coalesce(text, F.lit(""))) == ""
     no_file = asset.isNull() | asset.rlike(r"[/\\]") | (F.coalesce(asset_bytes, F.lit(0)) <= 0)
     return (
-        F.when(table_mode.isNotNull() & ((kind != "table") | ~table_mode.isin("text", "image")), "table_mode must be text/image on a table block")
-        .when((table_mode == "image") & no_file, "image table needs a non-empty verified source image")
-        .when((table_mode == "image") & blank, "image table needs source labels for translation")
-        .when((kind == "formula") & (F.coalesce(asset, F.lit("")) == "") & ~X.has_formula_markup(F.coalesce(text, F.lit(""))), "formula needs $...$ or $$...$$ math formatting, or a verified source image")
+        F.when(table_mode.isNotNull() & ((kind != "table") | ~table_mode.isin("text", "image")), WRONG_MODE)
+        .when((table_mode == "image") & no_file, NO_IMAGE)
+        .when((table_mode == "image") & blank, NO_LABELS)
+        .when((kind == "formula") & (F.coalesce(asset, F.lit("")) == "") & ~X.has_formula_markup(F.coalesce(text, F.lit(""))), NO_FORMULA)
     )
 
 
@@ -52,9 +59,9 @@ def note_states(notes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def errors(docs: DataFrame, atoms: DataFrame, blocks: DataFrame, issues: DataFrame) -> DataFrame:
     """doc_id, message of everything that keeps documents from being complete."""
-    split = ledger.partition_check(atoms, blocks).where("not ok").select("doc_id", F.lit("Source ledger is not an exact partition").alias("message"))
+    split = ledger.partition_check(atoms, blocks).where("not ok").select("doc_id", F.lit(NO_PARTITION).alias("message"))
     twice = blocks.groupBy("doc_id", "block_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = twice.select("doc_id", F.lit("Duplicate block ids").alias("message")).distinct()
+    twice = twice.select("doc_id", F.lit(SAME_IDS).alias("message")).distinct()
     keyed = blocks.withColumn("_digest", F.sha2(X.strip(F.col("target")).cast("binary"), 256))
     same = keyed.where("target is not null").groupBy("doc_id", "_digest").agg(F.count(F.lit(1)).alias("n_same"))
     gated = quality.gates(keyed.join(same, ["doc_id", "_digest"], "left").withColumn("n_same", F.coalesce("n_same", F.lit(1)))).select("doc_id", "message")
