@@ -65,7 +65,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         row = df.agg(F.count(F.lit(1)), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first()
         return tuple(row)
 
-    now = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(spark.sparkContext.defaultParallelism), "0")
+    now = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().hint("rebalance"), "0")
     seen = state(now)
     for k in range(1, MOST_ROUNDS):
         if seen[0] <= FEW_EDGES:

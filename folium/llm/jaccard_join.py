@@ -57,7 +57,7 @@ PACK_TOKENS = 1 << 20
 ROUNDS, FIRSTS = 3, 8
 #: Sets under one key that one task clusters, about; beyond, the key is split.
 CROWD = 4096
-#: Classes that go on from step 1 are broadcast up to so many, 24 bytes each.
+#: Classes that go on from step 1 are broadcast up to so many, 32 bytes each.
 FEW_CLASSES = 500_000
 #: Sets that may share a class number with another; more would need a bad hash, not more documents.
 MOST_RENAMED = 10_000
@@ -370,11 +370,12 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _surviving_sets(docs: DataFrame, rows: DataFrame, renamed: Renamed, scratch: list[str]) -> DataFrame:
     """cid, n, alone (tokens that no other class has), tokens, keys of the classes that share enough of their tokens with others."""
     shared = shared_counts(docs.select("text"), rows.agg(F.sum("n")).first()[0] or 0, renamed)
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    enough = write_table(classes.join(shared, "cid").where(F.col("shared") >= smallest(F.col("n"))).select("cid", "rep", "shared"), "jaccard-enough", small=True, scratch=scratch)
-    # Few enough rows of three numbers go to the texts; else the texts are dealt by id.
+    classes = rows.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "copy")).alias("rep"), F.first("n").alias("n"))
+    enough = write_table(classes.join(shared, "cid").where(F.col("shared") >= smallest(F.col("n"))).select("cid", F.col("rep.doc_id").alias("rep"), F.col("rep.copy").alias("rep_copy"), "shared"), "jaccard-enough", small=True, scratch=scratch)
+    # Few enough rows of four numbers go to the texts; else the texts are dealt by id. An id that many rows share, or none, is
+    # told apart by the checksum of the text.
     enough = F.broadcast(enough) if enough.count() <= FEW_CLASSES else enough
-    found = docs.select("doc_id", "text").join(enough, F.col("doc_id").eqNullSafe(F.col("rep")))
+    found = docs.select("doc_id", _copy().alias("_own"), "text").join(enough, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("_own") == F.col("rep_copy")))
     sets = found.select("cid", "shared", "text").mapInArrow(_sets(renamed), "cid long, n long, alone long, tokens array<bigint>, keys array<bigint>")
     return write_table(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens"), F.first("keys").alias("keys")), "jaccard-sets", scratch=scratch)
 

@@ -53,13 +53,13 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 def write_table(df: DataFrame, label: str, small: bool = False, scratch: list[str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, lost executors cost nothing before it.
 
-    small: the table holds few or narrow rows, so as many files as the cluster runs tasks at once will do.
+    small: the table holds few or narrow rows, so Spark gathers them into files of a fair size, after the work that makes them.
     scratch: takes the path of a table that its operator removes once nothing reads it any more.
     """
     path = new_folder(df.sparkSession, label)
     if scratch is not None:
         scratch.append(path)
-    (df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if small else df).write.parquet(path)
+    (df.hint("rebalance") if small else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -70,3 +70,15 @@ def test_lines_shards_and_mixes(spark):
     mixed = mixing.op10(docs).collect()
     assert Counter((r["doc_id"], r["size"], r["source_size"]) for r in mixed) == Counter({(1, 4, 12): 1, (2, 4, 12): 2, (None, 0, 0): 1, (3, 150_000, 150_000): 1})
     assert all(r["taken"] <= 3 * r["size"] for r in mixed)
+
+
+def test_similar_documents_that_share_an_id_or_have_none(spark):
+    """Many classes stand for one id: each meets its own text only, and none is lost."""
+    base = [[f"w{k}-{j}" for j in range(40)] for k in range(30)]
+    rows = [(i, " ".join(b)) for b in base for i in (None, 7)] + [(100 + k, " ".join(["x", *b])) for k, b in enumerate(base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.op6(docs)
+    assert Counter((r["doc_id"], r["component_id"]) for r in found.collect()) == Counter({(None, 7): 30, (7, 7): 30, **{(100 + k, 7): 1 for k in range(30)}})
+    rows = jaccard_join.write_table(docs.select("doc_id", jaccard_join._copy().alias("copy"), "text").mapInArrow(jaccard_join._classes, "doc_id long, copy long, n long, cid long, check long"), "t")
+    sets = jaccard_join._surviving_sets(docs, jaccard_join._in_classes(rows, {}), {}, [])
+    assert sets.count() == 60
