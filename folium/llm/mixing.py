@@ -92,6 +92,24 @@ def _with_size(state: Column, group: Column) -> Column:
     return F.struct((state["left"] - n * group["size"]).alias("left"), F.when(n > 0, F.concat(state["picks"], more)).otherwise(state["picks"]).alias("picks"))
 
 
+def _first_of_each_size(rows: DataFrame) -> DataFrame:
+    """rows with `_extra`: whether a document is among the first _n of its source and size, in hash order.
+
+    Many documents may have one size, so ranges of the hash are counted, and only the range in which the last place falls is sorted.
+    """
+    ranged = rows.withColumn("_range", F.shiftright("_draw", 52))
+    counts = ranged.groupBy("source", "size", "_range").agg(F.count(F.lit(1)).alias("_in"), F.first("_n").alias("_most"))
+    before = Window.partitionBy("source", "size").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_room", F.col("_most") - F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    counts = counts.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_range").alias("_r"), "_room", "_in")
+    both = ranged.join(counts.where("_room > 0"), _same(F.col("source"), F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_range") == F.col("_r")), "left")
+    cut = F.coalesce((F.col("_room") < F.col("_in")), F.lit(False))
+    in_range = Window.partitionBy("source", "size", "_range").orderBy("_draw", "doc_id", "copy")
+    last = both.where(cut).withColumn("_extra", F.row_number().over(in_range) <= F.col("_room"))
+    whole = both.where(~cut).withColumn("_extra", F.col("_room").isNotNull())
+    return whole.unionByName(last).select(*rows.columns, "_extra")
+
+
 def mix(sizes: DataFrame, shards: int = SHARDS, most_repeats: int = MOST_REPEATS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """A row for each time that the mix takes a document, with its place.
 
@@ -147,8 +165,7 @@ def mix(sizes: DataFrame, shards: int = SHARDS, most_repeats: int = MOST_REPEATS
     spare = write_table(spare, "mix-picks", small=True)
     rows = rows.join(small(spare), _same(F.col("source"), F.col("_source")) & (F.col("size") == F.col("_size")), "left").drop("_source", "_size")
     chosen = ~F.col("_fits") & F.col("_n").isNotNull()
-    of_size = Window.partitionBy("source", "size").orderBy("_draw", "doc_id", "copy")
-    picked = rows.where(chosen).withColumn("_extra", F.row_number().over(of_size) <= F.col("_n"))
+    picked = _first_of_each_size(rows.where(chosen))
     rows = rows.where(~chosen).withColumn("_extra", F.col("_fits")).unionByName(picked)
 
     # Epochs of a document: the whole ones, and one more if it is in the fraction.

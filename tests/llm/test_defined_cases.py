@@ -72,6 +72,22 @@ def test_lines_shards_and_mixes(spark):
     assert all(r["taken"] <= 3 * r["size"] for r in mixed)
 
 
+def test_a_fill_among_many_documents_of_one_size(spark):
+    """All documents have one size, so the last epoch's fill is a choice within one group; reruns agree."""
+    rows = [(k, 0, "ab"[k % 3 == 0], 7) for k in range(2000)]
+    sizes = spark.createDataFrame(rows, "doc_id long, copy long, source string, size long")
+    found = mixing.mix(sizes, blocks=8).where("epoch is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    again = mixing.mix(sizes.orderBy(F.rand(3)).repartition(5), blocks=8).where("epoch is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+    goal = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    taken = Counter()
+    for doc, n in found:
+        taken["ab"[doc % 3 == 0]] += 7 * n
+    assert all(0 <= goal[s] - taken[s] < 7 for s in "ab")
+    counts = Counter(r["n"] for r in found if r["doc_id"] % 3 == 0)
+    assert max(counts) - min(counts) <= 1
+
+
 def test_similar_documents_that_share_an_id_or_have_none(spark):
     """Many classes stand for one id: each meets its own text only, and none is lost."""
     base = [[f"w{k}-{j}" for j in range(40)] for k in range(30)]
