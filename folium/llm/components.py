@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.shared import new_folder, remove
+from folium.llm.shared import new_folder, remove, tidy_worker
 
 MOST_ROUNDS = 60
 #: A graph of at most so many edges, 16 bytes each, is finished by one task; larger ones contract until they are that small.
@@ -69,7 +69,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     for k in range(1, MOST_ROUNDS):
         if seen[0] <= FEW_EDGES:
-            return now.repartition(1).mapInArrow(_finish, "node long, component long")
+            return now.repartition(1).mapInArrow(tidy_worker(_finish), "node long, component long")
         near = _both_ways(now)
         large = near.join(_lowest(near), F.col("u") == F.col("node")).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         large = large.where("u <> v").distinct()

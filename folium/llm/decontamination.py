@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from folium.llm import hashing
 from folium.llm.fm_index import FMIndex
-from folium.llm.shared import lean_batches, new_folder
+from folium.llm.shared import lean_batches, new_folder, tidy_worker
 from folium.llm.store import Store
 
 WINDOW = 10
@@ -252,14 +252,18 @@ def _write_blocks(benchmark: DataFrame, folder: str, block_bytes: int) -> list[s
     return sorted(row["name"] for row in dealt.groupBy("_block").applyInArrow(build, "name string").collect())  # a name for each block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """The kept columns of every document with n_words, spans (of words, half-open) and items (sorted as strings)."""
+def _prepared(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None, block_bytes: int, group_bytes: int) -> tuple[DataFrame, list[str], Callable]:
+    """The rows to search, the columns that stay, and the function that searches batches of them."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in FOUND.names]
-    schema = T.StructType([docs.schema[c] for c in keep] + FOUND.fields)
     folder = new_folder(docs.sparkSession, "benchmark")
     names = _write_blocks(benchmark, folder, block_bytes)
-    source = lean_batches(docs).select(*dict.fromkeys([*keep, "text"]))
-    return source.mapInArrow(_finder(folder, names, keep, group_bytes), schema)
+    return lean_batches(docs).select(*dict.fromkeys([*keep, "text"])), keep, _finder(folder, names, keep, group_bytes)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The kept columns of every document with n_words, spans (of words, half-open) and items (sorted as strings)."""
+    source, keep, find = _prepared(docs, benchmark, keep, block_bytes, group_bytes)
+    return source.mapInArrow(tidy_worker(find), T.StructType([docs.schema[c] for c in keep] + FOUND.fields))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,13 +283,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _cleaner(find: Callable) -> Callable:
+    """Searches batches, leaves out the documents of which no word is left, and cuts the others, all in one worker."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in find(batches):
+            hit = [sum(s["end"] - s["begin"] for s in spans) for spans in batch.column("spans").to_pylist()]
+            stays = [h == 0 or n > h for h, n in zip(hit, batch.column("n_words").to_pylist(), strict=True)]
+            left = batch.filter(pa.array(stays, pa.bool_()))
+            yield from _cut(iter([left.select([c for c in left.schema.names if c not in ("n_words", "items")])]))
+
+    return clean
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Documents with every removal span cut out; a document of which no words are left goes."""
-    found = find_leaks(docs, benchmark)
-    left = F.col("n_words") > F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"])
-    found = found.where(left | (F.size("spans") == 0)).drop("n_words", "items")
-    schema = T.StructType([f for f in found.schema.fields if f.name != "spans"])
-    return found.mapInArrow(_cut, schema)
+    source, keep, find = _prepared(docs, benchmark, None, block_bytes, group_bytes)
+    return source.mapInArrow(tidy_worker(_cleaner(find)), T.StructType([docs.schema[c] for c in keep]))
 
 
 def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

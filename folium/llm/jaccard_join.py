@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from folium.llm import hashing
 from folium.llm.components import connected_components
-from folium.llm.shared import clear, lean_batches, write_table
+from folium.llm.shared import clear, lean_batches, tidy_worker, write_table
 
 WIDTH = 5
 SIMILARITY = 75
@@ -306,10 +306,10 @@ def shared_counts(rows: DataFrame, total: int, renamed: Renamed) -> DataFrame:
     parts = max(1, buckets // 8)
     # Sorted, a task makes the same packs whenever it is run: what buckets got from a lost executor fits what they get again.
     ordered = rows.sortWithinPartitions(*([F.xxhash64("text"), F.length("text")] if "text" in rows.columns else ["cid"]))
-    packed = ordered.mapInArrow(_packer(buckets, renamed), _PACKED)
+    packed = ordered.mapInArrow(tidy_worker(_packer(buckets, renamed)), _PACKED)
     # One task for each bucket, whatever the session's number of partitions is: a task's share does not grow with the tokens.
-    counted = packed.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_sharer(parts), _PARTED)
-    totals = counted.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(_totals, "cid long, shared long, packs long")
+    counted = packed.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(tidy_worker(_sharer(parts)), _PARTED)
+    totals = counted.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(tidy_worker(_totals), "cid long, shared long, packs long")
     sums = totals.groupBy("cid").agg(F.sum("shared").alias("_shared"), F.sum("packs").alias("_packs")).where("_packs > 0")  # names of bundles are in none
     return sums.select("cid", F.floor(F.col("_shared") / F.col("_packs")).cast("long").alias("shared"))
 
@@ -376,7 +376,7 @@ def _surviving_sets(docs: DataFrame, rows: DataFrame, renamed: Renamed, scratch:
     # told apart by the checksum of the text.
     enough = F.broadcast(enough) if enough.count() <= FEW_CLASSES else enough
     found = docs.select("doc_id", _copy().alias("_own"), "text").join(enough, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("_own") == F.col("rep_copy")))
-    sets = found.select("cid", "shared", "text").mapInArrow(_sets(renamed), "cid long, n long, alone long, tokens array<bigint>, keys array<bigint>")
+    sets = found.select("cid", "shared", "text").mapInArrow(tidy_worker(_sets(renamed)), "cid long, n long, alone long, tokens array<bigint>, keys array<bigint>")
     return write_table(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens"), F.first("keys").alias("keys")), "jaccard-sets", scratch=scratch)
 
 
@@ -419,7 +419,7 @@ def _groups(sets: DataFrame, scratch: list[str]) -> DataFrame:
     keyed = keyed.withColumn("sub", F.pmod(F.xxhash64("cid", "round"), F.ceil(F.coalesce("_n", F.lit(1)) / CROWD))).select("round", "key", "sub", "cid", "alone", "tokens")
     # Those with the fewest tokens of their own come first: they are the likeliest to link with what follows.
     dealt = keyed.repartition("round", "key", "sub").sortWithinPartitions("round", "key", "sub", "alone", "cid")
-    edges = write_table(dealt.mapInArrow(_clusterer(FIRSTS), "u long, v long"), "jaccard-links", small=True, scratch=scratch)
+    edges = write_table(dealt.mapInArrow(tidy_worker(_clusterer(FIRSTS)), "u long, v long"), "jaccard-links", small=True, scratch=scratch)
     labels = connected_components(edges)
     every = sets.select("cid", "n").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "n", F.coalesce("component", "cid").alias("label"))
     every = write_table(every, "jaccard-labelled-sets", small=True, scratch=scratch)
@@ -496,7 +496,7 @@ def _copy() -> Column:
 def _in_components(docs: DataFrame) -> DataFrame:
     """doc_id, copy, n (size of the set), cid (class), component_id and label for every row of docs; the label is null where a row is alone."""
     scratch: list[str] = []
-    rows = write_table(lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _copy().alias("copy"), "text").mapInArrow(_classes, "doc_id long, copy long, n long, cid long, check long"), "jaccard-classes", scratch=scratch)
+    rows = write_table(lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _copy().alias("copy"), "text").mapInArrow(tidy_worker(_classes), "doc_id long, copy long, n long, cid long, check long"), "jaccard-classes", scratch=scratch)
     renamed = _renamed(rows, scratch)
     rows = _in_classes(rows, renamed)
     sets = _surviving_sets(docs, rows, renamed, scratch)

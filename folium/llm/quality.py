@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folium.llm import hashing
-from folium.llm.shared import lean_batches
+from folium.llm.shared import lean_batches, tidy_worker
 
 BITS = 18
 #: Labelled rows that are learned from, at most.
@@ -156,10 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = lean_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE rows of two numbers
     keyed = texts.select("doc_id", "quality", F.xxhash64(text, F.length(text)).alias("text_key"), "text")
-    sparse = keyed.mapInArrow(_sparse, "doc_id long, quality int, text_key long, at array<int>, x array<float>")
+    sparse = keyed.mapInArrow(tidy_worker(_sparse), "doc_id long, quality int, text_key long, at array<int>, x array<float>")
     # Rows may share an id, so the bound holds for rows again after the join.
     bounded = sparse.orderBy(*by_hash, "text_key").limit(sample).drop("text_key")
-    found = bounded.coalesce(1).mapInArrow(_learner, "weights binary").collect()  # one row of fixed size
+    found = bounded.coalesce(1).mapInArrow(tidy_worker(_learner), "weights binary").collect()  # one row of fixed size
     return np.frombuffer(found[0][0]) if found else np.zeros((1 << BITS) + 1)
 
 
@@ -174,7 +174,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], scores], names=[*keep, "quality_score"])
 
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("quality_score", T.DoubleType())])
-    return lean_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return lean_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidy_worker(run), schema)
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:

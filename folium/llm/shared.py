@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +81,36 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def give_back() -> None:
+    """Hands memory that a worker has freed back to the system: workers stay for the next stage, and the JVM beside them needs the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where there is no such function, nothing is lost
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy_worker(work: Callable) -> Callable:
+    """A function over the batches, or the table, of a task that gives its memory back when it is done."""
+
+    @functools.wraps(work)
+    def run(given):
+        if isinstance(given, pa.Table):
+            try:
+                return work(given)
+            finally:
+                give_back()
+        return _through(work, given)
+
+    return run
+
+
+def _through(work: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from work(batches)
+    finally:
+        give_back()
+
+
 #: Rows of an Arrow batch: texts are long, and a worker holds a few batches at a time.
 BATCH_ROWS = 1_000
 
