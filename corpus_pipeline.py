@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for each time."""
     sizes = write_table(mixing.number_copies(mixing.document_sizes(docs)), "mix-sizes")
     times = mixing.mix(sizes).where(F.col("epoch").isNotNull()).groupBy("doc_id", "copy", "source").agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    times = times.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("source").alias("_source"), "_times")
+    times = write_table(times.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("source").alias("_source"), "_times"), "mix-times")
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(*COLUMNS, F.xxhash64(text, F.length(text)).alias("copy"))
     same = Window.partitionBy("doc_id", "copy").orderBy("source")

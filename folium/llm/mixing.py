@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.shared import BLANKS, write_table
+from folium.llm.shared import BLANKS, clear, write_table
 
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -92,8 +92,8 @@ def _with_size(state: Column, group: Column) -> Column:
     return F.struct((state["left"] - n * group["size"]).alias("left"), F.when(n > 0, F.concat(state["picks"], more)).otherwise(state["picks"]).alias("picks"))
 
 
-def _first_of_each_size(rows: DataFrame) -> DataFrame:
-    """rows with `_extra`: whether a document is among the first _n of its source and size, in hash order.
+def _last_of_each_size(rows: DataFrame) -> DataFrame:
+    """The _n-th document, in hash order, of each source and size: _source, _size and its `_last` (_draw, doc_id, copy).
 
     Many documents may have one size, so ranges of the hash are counted, and only the range in which the last place falls is sorted.
     """
@@ -101,13 +101,11 @@ def _first_of_each_size(rows: DataFrame) -> DataFrame:
     counts = ranged.groupBy("source", "size", "_range").agg(F.count(F.lit(1)).alias("_in"), F.first("_n").alias("_most"))
     before = Window.partitionBy("source", "size").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_room", F.col("_most") - F.coalesce(F.sum("_in").over(before), F.lit(0)))
-    counts = counts.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_range").alias("_r"), "_room", "_in")
-    both = ranged.join(counts.where("_room > 0"), _same(F.col("source"), F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_range") == F.col("_r")), "left")
-    cut = F.coalesce((F.col("_room") < F.col("_in")), F.lit(False))
+    counts = counts.where("_room > 0 and _room <= _in").select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_range").alias("_r"), "_room")
+    cut = ranged.join(counts, _same(F.col("source"), F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_range") == F.col("_r")))
     in_range = Window.partitionBy("source", "size", "_range").orderBy("_draw", "doc_id", "copy")
-    last = both.where(cut).withColumn("_extra", F.row_number().over(in_range) <= F.col("_room"))
-    whole = both.where(~cut).withColumn("_extra", F.col("_room").isNotNull())
-    return whole.unionByName(last).select(*rows.columns, "_extra")
+    last = cut.withColumn("_at", F.row_number().over(in_range)).where("_at = _room")
+    return last.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.struct("_draw", "doc_id", "copy").alias("_last"))
 
 
 def mix(sizes: DataFrame, shards: int = SHARDS, most_repeats: int = MOST_REPEATS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
@@ -115,8 +113,10 @@ def mix(sizes: DataFrame, shards: int = SHARDS, most_repeats: int = MOST_REPEATS
 
     sizes: doc_id, copy (tells rows with one doc_id apart), source, size. Returns doc_id, copy, source, size,
     source_size, target, epoch, shard, position; a document that is not taken has one row with a null epoch.
+    Each step is written, as the driver plans a query of many joins anew whenever one of its stages ends.
     """
-    goal = write_table(targets(sizes, most_repeats), "mix-targets")
+    used_up: list[str] = []
+    goal = write_table(targets(sizes, most_repeats), "mix-targets", scratch=used_up)
     small = F.broadcast if goal.count() * (most_repeats + 1) + 2 * blocks * most_repeats <= SMALL_ROWS else lambda x: x
     total_docs = F.sum("n_docs").over(Window.partitionBy())
     plan = goal.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.lit(blocks) * F.col("n_docs") / total_docs)).cast("long"))
@@ -126,7 +126,7 @@ def mix(sizes: DataFrame, shards: int = SHARDS, most_repeats: int = MOST_REPEATS
     draw = F.xxhash64("doc_id", "copy", "size", F.lit(seed))
     placed = sizes.join(small(plan), _same(F.col("source"), F.col("_source"))).drop("_source")
     placed = placed.withColumn("_draw", draw).withColumn("block", F.pmod(F.col("_draw"), F.col("n_blocks")))
-    placed = write_table(placed.select("doc_id", "copy", "source", "size", "_draw", "block"), "mix-documents")
+    placed = write_table(placed.select("doc_id", "copy", "source", "size", "_draw", "block"), "mix-documents", scratch=used_up)
 
     per_block = placed.groupBy("source", "block").agg(F.sum("size").alias("words"))
     in_order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed)), "block")
@@ -134,7 +134,7 @@ def mix(sizes: DataFrame, shards: int = SHARDS, most_repeats: int = MOST_REPEATS
     per_block = per_block.withColumn("rank", F.row_number().over(in_order)).withColumn("_before", before)
     per_block = per_block.join(small(plan), _same(F.col("source"), F.col("_source"))).drop("_source")
     per_block = per_block.withColumn("whole", F.col("_before") + F.col("words") <= F.col("rest")).withColumn("room", F.when(~F.col("whole") & (F.col("_before") < F.col("rest")), F.col("rest") - F.col("_before")))
-    per_block = write_table(per_block.select("source", "block", "words", "rank", "epochs", "whole", "room", "rest", "source_size", "target"), "mix-blocks")
+    per_block = write_table(per_block.select("source", "block", "words", "rank", "epochs", "whole", "room", "rest", "source_size", "target"), "mix-blocks", scratch=used_up)
 
     # Block rows of all epochs that the mix draws from; the last, partial block counts as one.
     taken = F.col("epochs") + F.when(F.col("whole") | F.col("room").isNotNull(), 1).otherwise(0)
@@ -154,19 +154,21 @@ def mix(sizes: DataFrame, shards: int = SHARDS, most_repeats: int = MOST_REPEATS
     in_block = Window.partitionBy("source", "block").orderBy("_draw", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
     partial = rows.where(F.col("room").isNotNull()).withColumn("_fits", F.sum("size").over(in_block) <= F.col("room"))
     rows = rows.where(F.col("room").isNull()).withColumn("_fits", F.col("whole")).unionByName(partial)
+    rows = write_table(rows.select("doc_id", "copy", "source", "size", "source_size", "target", "block", "epochs", "room", "_draw", "_fits"), "mix-rows")
     # What is left is filled from all documents of the source that are not in yet, the largest that fits first, until none fits.
-    left = partial.groupBy("source").agg(F.first("room").alias("_room"), F.sum(F.when(F.col("_fits"), F.col("size")).otherwise(0)).alias("_used"))
+    left = rows.where(F.col("room").isNotNull()).groupBy("source").agg(F.first("room").alias("_room"), F.sum(F.when(F.col("_fits"), F.col("size")).otherwise(0)).alias("_used"))
     left = left.select(F.col("source").alias("_source"), (F.col("_room") - F.col("_used")).alias("_gap"))
     spare = rows.where(~F.col("_fits") & (F.col("size") > 0)).join(small(left), _same(F.col("source"), F.col("_source")))
     spare = spare.where(F.col("size") <= F.col("_gap")).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.first("_gap").alias("_gap"))
     spare = spare.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("_sizes"), F.first("_gap").alias("_gap"))
     picks = F.aggregate("_sizes", F.struct(F.col("_gap").alias("left"), F.array().cast("array<struct<size:bigint,n:bigint>>").alias("picks")), _with_size)
     spare = spare.select(F.col("source").alias("_source"), F.explode(picks["picks"]).alias("_pick")).select("_source", F.col("_pick.size").alias("_size"), F.col("_pick.n").alias("_n"))
-    spare = write_table(spare, "mix-picks", small=True)
-    rows = rows.join(small(spare), _same(F.col("source"), F.col("_source")) & (F.col("size") == F.col("_size")), "left").drop("_source", "_size")
-    chosen = ~F.col("_fits") & F.col("_n").isNotNull()
-    picked = _first_of_each_size(rows.where(chosen))
-    rows = rows.where(~chosen).withColumn("_extra", F.col("_fits")).unionByName(picked)
+    spare = write_table(spare, "mix-picks", small=True, scratch=used_up)
+    picked = rows.where(~F.col("_fits")).join(small(spare), _same(F.col("source"), F.col("_source")) & (F.col("size") == F.col("_size")))
+    last = write_table(_last_of_each_size(picked.select("doc_id", "copy", "source", "size", "_draw", "_n")), "mix-last", small=True)
+    clear(rows.sparkSession, used_up)
+    rows = rows.join(small(last), _same(F.col("source"), F.col("_source")) & (F.col("size") == F.col("_size")), "left")
+    rows = rows.withColumn("_extra", F.col("_fits") | F.coalesce(F.struct("_draw", "doc_id", "copy") <= F.col("_last"), F.lit(False)))
 
     # Epochs of a document: the whole ones, and one more if it is in the fraction.
     n = F.col("epochs") + F.when(F.col("_extra"), 1).otherwise(0)

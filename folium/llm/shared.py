@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +69,25 @@ def write_table(df: DataFrame, label: str, small: bool = False, scratch: list[st
 
 
 def clear(spark: SparkSession, scratch: list[str]) -> None:
-    """Deletes tables that are used up."""
+    """Deletes tables that are used up; the queries over them are done, so the driver gives back memory too."""
     for path in scratch:
         remove(spark, path)
     scratch.clear()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """Hands memory that the driver's JVM freed outside its heap, mostly by compiling, back to the system; whether this JVM can."""
+    jvm = spark._jvm
+    try:
+        # The bean server's class is hidden from Py4J, its interface is not.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # other systems, other or older JVMs: nothing is lost
+        return False
+    return True
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,11 +1,12 @@
 """Nulls, long texts, ties, repeated rows and columns of other names, operator by operator."""
 
 import hashlib
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from folium.llm import chat_format, decontamination, html_text, jaccard_join, line_dedup, mixing, sharding, topk_search, warc
+from folium.llm import chat_format, decontamination, html_text, jaccard_join, line_dedup, mixing, shared, sharding, topk_search, warc
 
 CLASHES = "text2 label n cid tokens keys copy keeper digest again archive refers_to record_type x far floor score rank query_id shard block epoch size target position example target_turn loss_start n_turns n_chars n_lines doc spans items _id _key".split()
 
@@ -88,6 +89,22 @@ def test_a_fill_among_many_documents_of_one_size(spark):
     assert max(counts) - min(counts) <= 1
 
 
+def test_the_driver_plans_a_mix_in_steps(spark):
+    """A plan of many joins fills the driver, which renders it anew after each stage: the mix reads its documents once, in two joins."""
+    sizes = spark.createDataFrame([(k, 0, "ab"[k % 3 == 0], 1 + k % 5) for k in range(300)], "doc_id long, copy long, source string, size long")
+    plan = mixing.mix(sizes, blocks=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join (Inner|Left)", plan)) == 2 and len(re.findall(r"\bRelation ", plan)) == 3
+
+
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    assert shared.trim_driver(spark)  # on Linux, from JDK 17.0.9 on
+    calls = []
+    monkeypatch.setattr(shared, "trim_driver", calls.append)
+    sizes = spark.createDataFrame([(k, 0, "a", 1 + k) for k in range(9)], "doc_id long, copy long, source string, size long")
+    mixing.mix(sizes, blocks=2)
+    assert calls == [spark]
+
+
 def test_similar_documents_that_share_an_id_or_have_none(spark):
     """Many classes stand for one id: each meets its own text only, and none is lost."""
     base = [[f"w{k}-{j}" for j in range(40)] for k in range(30)]
